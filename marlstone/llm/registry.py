@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +31,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.quality import STATS, quality_verdicts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_verdicts(docs, keep_text=False).select("doc_id", *STATS, "base_failed", "kept")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=80)
+
+
 def queries() -> dict:
     return {
+        "op8_quality_rules": op8_quality_rules,
+        "op10_near_duplicates": op10_near_duplicates,
         "op3_token_counts": op3_token_counts,
         "op5_packing": op5_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_quality_rules": sql.QUALITY,
+        "op10_near_duplicates": sql.NEAR_DUP,
+    }
