@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import sql
 
+#: A key for tests and checks; a production run passes its own secret.
+PII_KEY = "marlstone"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +21,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.token_counts import prefix_table, truncation
 
@@ -31,6 +40,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.pii import KINDS, with_surrogates
+
+    out = with_surrogates(_table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", *[F.coalesce(F.col("pii")[k], F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.quality import STATS, quality_verdicts
 
@@ -46,8 +62,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op8_quality_rules": op8_quality_rules,
         "op10_near_duplicates": op10_near_duplicates,
+        "op1_secret_scan": op1_secret_scan,
         "op3_token_counts": op3_token_counts,
         "op5_packing": op5_packing,
     }
