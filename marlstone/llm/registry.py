@@ -27,6 +27,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.token_counts import prefix_table, truncation
 
@@ -54,6 +60,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(docs, keep_text=False).select("doc_id", *STATS, "base_failed", "kept")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.neighbours import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.near_dup import near_duplicates
 
@@ -64,8 +77,10 @@ def queries() -> dict:
     return {
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_quality_rules": op8_quality_rules,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_near_duplicates": op10_near_duplicates,
         "op1_secret_scan": op1_secret_scan,
+        "op2_warc_archive": op2_warc_archive,
         "op3_token_counts": op3_token_counts,
         "op5_packing": op5_packing,
     }
