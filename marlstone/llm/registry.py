@@ -40,12 +40,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars")
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.training_order import training_order
+
+    return training_order(_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, key=20_240)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_order", "mix_weight")
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.pii import KINDS, with_surrogates
 
@@ -75,6 +88,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op6_source_mix": op6_source_mix,
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_quality_rules": op8_quality_rules,
         "op9_nearest_neighbours": op9_nearest_neighbours,
@@ -82,6 +96,7 @@ def queries() -> dict:
         "op1_secret_scan": op1_secret_scan,
         "op2_warc_archive": op2_warc_archive,
         "op3_token_counts": op3_token_counts,
+        "op4_training_order": op4_training_order,
         "op5_packing": op5_packing,
     }
 
