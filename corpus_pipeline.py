@@ -1,7 +1,68 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes the documents that the one before it kept and returns documents, but for
+the last, which returns where each piece of a document lies in a training sequence.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm.common import materialise, small
+from marlstone.llm.mixing import mix
+from marlstone.llm.near_dup import near_duplicates
+from marlstone.llm.packing import pack_documents
+from marlstone.llm.pii import with_surrogates
+from marlstone.llm.quality import quality_verdicts
+from marlstone.llm.registry import PII_KEY, vocabulary
+
+#: Near-duplicates share words in shingles of five.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host is not rejected."""
+    return quality_verdicts(docs).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates; of rows that repeat, one."""
+    verdicts = near_duplicates(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
+    gone = materialise(verdicts.where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data, and their new lengths."""
+    out = with_surrogates(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; smaller sources again, up to twice, for a flatter mix."""
+    return mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 4,096 tokens."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", near_dedup),
+    ("personal data", pii),
+    ("source mix", mixture),
+    ("packing", packing),
+]
+
+#: SQL can express neither the tokenizer nor first-fit packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.range(0)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
