@@ -123,7 +123,7 @@ def safe_stem(name: Column) -> Column:
 
 def list_items(text: Column) -> Column:
     """Items of a comma-separated text, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def memory_estimate(width: Column, height: Column, bytes_per_sample: Column, chroma_samples: Column) -> Column:
