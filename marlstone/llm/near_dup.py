@@ -7,9 +7,10 @@ from either collection: BANDS * BANDS tables of 2 * ROWS minhashes from only
 the first and a key of the second collection; sets of similarity s miss each other with
 probability of about 2 * (1 - s ** ROWS) ** BANDS, 6e-6 at 0.8 and less above.
 
-Pairs are not listed within groups.  Equal sets are one class from the start.  In each
-group the smallest class is compared with the others, confirmed links join components,
-and only members of different components that still share a table are then compared.
+Pairs are not listed within groups.  Equal sets are one class from the start.  In turns,
+one class of each group is compared with the others, and confirmed links join components.
+When a turn finds no more, only members of different components that still share a table
+are compared: all of them, so that no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from marlstone.llm.common import discard, materialise, small
 BANDS, ROWS = 24, 4
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, SIMILARITY = 5, 80
+#: Most turns in which one class of each group meets the others, before the rest is compared in full.
+TURNS = 3
 #: Shingles that are hashed at a time.
 BLOCK = 8192
 #: Documents up to which the ids of those to compare are sent to every executor.
@@ -121,19 +124,27 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(made, schema)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) whose full sets are similar enough; written."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(cid, shingles) of the classes in ``ids``, from their documents' whole texts; written."""
     involved = materialise(classes.join(ids, "cid", "left_semi").select("cid", "doc_id", "d1", "d2"), "involved")
     wanted = small(involved.select("doc_id").distinct(), involved.count(), INVOLVED_ROWS)
-    sets = materialise(_sets(docs.join(wanted, "doc_id", "left_semi"), words).join(small(involved, limit=INVOLVED_ROWS), ["doc_id", "d1", "d2"]).select("cid", "shingles"), "sets")
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).join(small(involved, limit=INVOLVED_ROWS), ["doc_id", "d1", "d2"])
+    # Rows that repeat a document give its set again.
+    out = materialise(sets.select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    discard(involved)
+    return out
+
+
+def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) whose full sets are similar enough; written."""
+    sets = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), words)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
-    both = both.where(F.size("sa") > 0).join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+    both = both.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     na, nb = F.size("sa"), F.size("sb")
     near = both.where(F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity)
     common = F.size(F.array_intersect("sa", "sb"))
-    links = materialise(near.withColumn("common", common).where(F.col("common") * 100 >= (na + nb - F.col("common")) * similarity).select("a", "b").distinct(), "links")
-    discard(involved, sets)
+    links = materialise(near.withColumn("common", common).where(F.col("common") * 100 >= (na + nb - F.col("common")) * similarity).select("a", "b"), "links")
+    discard(sets)
     return links
 
 
@@ -165,28 +176,68 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` has members of different components."""
-    found = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key)
-    return rows.join(found.hint("merge"), key)
+def _with_components(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cid, key, side, comp) of the keys that still have members of different components."""
+    rows = keys.select("cid", "key", "side").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    found = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return materialise(rows.join(found.hint("merge"), "key"), "keys")
 
 
-def _unjoined_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes that share a table and are in different components."""
-    rows = keys.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    rows = _mixed(rows, "key")
-    own = rows.groupBy("cid", "comp").agg(*(F.collect_list(F.when(F.col("side") == s, F.col("key"))).alias(f"k{s}") for s in (0, 1)))
-    tables = F.flatten(F.transform("k0", lambda u: F.transform("k1", lambda v: F.xxhash64(u, v))))
-    rows = materialise(_mixed(own.select("cid", "comp", F.explode(tables).alias("table")), "table"), "tables")
-    # In each table all are held against those outside its most frequent component.
-    sizes = rows.groupBy("table", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("table").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    rows = rows.join(main.hint("merge"), "table")
-    other = rows.where("comp <> main").select("table", F.col("cid").alias("o"), F.col("comp").alias("oc"))
-    met = other.join(rows.hint("merge"), "table").where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("cid"))))
-    pairs = materialise(met.select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b")).distinct(), "pairs")
-    discard(rows)
-    return pairs
+def _star_pairs(keys: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each key's first class, in an order drawn for the turn, with members of other components.
+
+    Only pairs that share a key of either collection, and so a table, are returned.
+    """
+    rank = F.struct(F.xxhash64("cid", F.lit(turn)).alias("r"), "cid", "comp")
+    first = keys.groupBy("key").agg(F.min(rank).alias("f")).select("key", F.col("f.cid").alias("lead"), F.col("f.comp").alias("lead_comp"))
+    met = keys.join(first.hint("merge"), "key").where("comp <> lead_comp")
+    pairs = met.groupBy("cid", "lead").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+    return materialise(pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")), "star")
+
+
+def _unjoined_links(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int, similarity: int) -> DataFrame:
+    """All links between classes that share a table and are in different components; written.
+
+    Tables with the same first key stand together under it.  There, classes are held
+    against those outside the most frequent component only, and a pair is looked at under
+    the least first key that it shares, if it shares a second key as well.
+
+    Each class carries its difference from one member of the group, the pivot, which is
+    short where members are alike.  Two sets differ in |d| + |e| - 2 * |d and e| shingles,
+    d and e their differences from the pivot, and are linked if this is at most
+    (100 - s) / (100 + s) of their sizes' sum.  So the join itself confirms links on what
+    makes up the full sets, and no pair that is no link leaves it.
+    """
+    own = keys.groupBy("cid", "comp").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("key")))).alias(f"k{s}") for s in (0, 1)))
+    rows = own.where((F.size("k0") > 0) & (F.size("k1") > 0)).withColumn("key", F.explode("k0"))
+    per_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot"))
+    main = per_comp.groupBy("key").agg(F.max(F.struct("n", "comp", "pivot")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = materialise(rows.join(main.select("key", F.col("m.comp").alias("main"), F.col("m.pivot").alias("pivot")).hint("merge"), "key"), "tables")
+
+    sets = _sets_of(docs, classes, rows.select(F.explode(F.array("cid", "pivot")).alias("cid")).distinct(), words)
+    against = rows.select("cid", "pivot").distinct().join(sets.hint("merge"), "cid")
+    against = against.join(sets.select(F.col("cid").alias("pivot"), F.col("shingles").alias("p")).hint("merge"), "pivot")
+    differ = F.concat(F.array_except("shingles", "p"), F.array_except("p", "shingles"))
+    against = materialise(against.select("cid", "pivot", F.size("shingles").alias("n"), differ.alias("d")), "differences")
+    full = materialise(rows.join(against.hint("merge"), ["cid", "pivot"]), "tables")
+    discard(rows, sets, against)
+
+    other = full.where("comp <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("cid", "comp", "k0", "k1", "n", "d")])
+    total, unlike = F.col("n") + F.col("o_n"), F.size("d") + F.size("o_d")
+    allowed = total * (100 - similarity)
+    condition = (
+        (F.col("key") == F.col("key2"))
+        & (F.col("comp") != F.col("o_comp"))
+        & ((F.col("comp") == F.col("main")) | (F.col("o_cid") < F.col("cid")))
+        & (F.abs(F.size("d") - F.size("o_d")) * (100 + similarity) <= allowed)
+        & (F.array_min(F.array_intersect("k0", "o_k0")) == F.col("key"))
+        & F.arrays_overlap("k1", "o_k1")
+        & ((unlike - 2 * F.size(F.array_intersect("d", "o_d"))) * (100 + similarity) <= allowed)
+    )
+    met = other.join(full.hint("merge").withColumnRenamed("key", "key2"), condition)
+    links = materialise(met.select(F.col("o_cid").alias("a"), F.col("cid").alias("b")), "links")
+    discard(full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,20 +257,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     key: Column = F.posexplode("keys").alias("pos", "key")
     exploded = classes.select("cid", key).select("cid", "key", (F.col("pos") >= bands).cast("int").alias("side"))
-    shared = exploded.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key", "lead")
-    keys = materialise(exploded.join(shared.hint("merge"), "key"), "keys")
-    star = keys.where("cid <> lead").groupBy("cid", "lead").agg(F.countDistinct("side").alias("sides")).where("sides = 2")
-    star = materialise(star.select(F.col("lead").alias("a"), F.col("cid").alias("b")), "star")
-    links = _confirm(docs, classes, star, words, similarity)
-    labels = components(links)
-    more = _unjoined_pairs(keys.select("cid", "key", "side"), labels)
-    links2 = _confirm(docs, classes, more, words, similarity)
-    labels = components(links.union(links2))
+    shared = exploded.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key")
+    keys = materialise(exploded.join(shared.hint("merge"), "key").withColumn("comp", F.col("cid")), "keys")
+    links = labels = None
+    for turn in range(TURNS):
+        star = _star_pairs(keys, turn)
+        new = _confirm(docs, classes, star, words, similarity)
+        discard(star)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        labels = components(links)
+        left = _with_components(keys, labels)
+        discard(keys)
+        keys = left
+    last = _unjoined_links(docs, classes, keys, words, similarity)
+    labels = components(last if links is None else links.union(last))
 
     named = classes.select("cid", "d1", "d2", "doc_id").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.join(least.hint("merge"), "comp").select("d1", "d2", "component_id"), "named")
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    discard(keys, star, more)
+    discard(keys)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

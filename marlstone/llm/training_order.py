@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,29 +64,59 @@ class Feistel:
 
 
 def sequences(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cuts each document's ids (the text's ids, then ``end_id``) into sequences of ``length``.
+    """Cuts each task's documents (a text's ids, then ``end_id``, one after another) into sequences of ``length``.
 
-    Returns doc_id, seq (from 0 in its document), n_tokens, and ``ids``: little-endian
-    unsigned 16-bit ids, padded with ``end_id``.  A null text is empty: one sequence.
-    ``path``'s ids must be below 65,536.
+    Returns ``task`` and ``place`` (the sequence's place in its task, from 0), first_doc and
+    first_start (the document of the first token, and that token's place in it), n_docs
+    (documents that the sequence holds tokens of), n_tokens, and ``ids``: little-endian
+    unsigned 16-bit ids, a task's last sequence padded with ``end_id``.  A null text is
+    empty.  ``path``'s ids must be below 65,536.
     """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dtype = dict(kept.dtypes)["doc_id"]
     end = np.array([end_id], "<u4").tobytes()
+    names = ["task", "place", "first_doc", "first_start", "n_docs", "n_tokens", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, place, kind = TaskContext.get().partitionId(), 0, pa.int64()
+        held: list[np.ndarray] = []  # tokens of the sequence that is being filled, at most ``length``
+        filled, first = 0, (None, 0)
+        docs_in = 0
+        rows: list[tuple] = []
+
+        def close() -> None:
+            nonlocal place, held, filled, docs_in
+            ids = np.concatenate(held)
+            rows.append((task, place, *first, docs_in, len(ids), np.pad(ids, (0, length - len(ids)), constant_values=end_id).tobytes()))
+            place, held, filled, docs_in = place + 1, [], 0, 0
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            types = [pa.int32(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
         for batch in batches:
-            at, seq, size, data = [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            kind = batch.column("doc_id").type
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.frombuffer(text_ids(path, text) + end, "<u4").astype("<u2")
-                for i in range(0, len(ids), length):
-                    part = ids[i : i + length]
-                    at.append(k)
-                    seq.append(i // length)
-                    size.append(len(part))
-                    data.append(np.pad(part, (0, length - len(part)), constant_values=end_id).tobytes())
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(seq, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "seq", "n_tokens", "ids"])
-
-    return kept.mapInArrow(cut, f"doc_id {dict(kept.dtypes)['doc_id']}, seq long, n_tokens long, ids binary")
+                at = 0
+                while at < len(ids):
+                    if not filled:
+                        first = (doc, at)
+                    part = ids[at : at + length - filled]
+                    held.append(part)
+                    filled, docs_in, at = filled + len(part), docs_in + 1, at + len(part)
+                    if filled == length:
+                        close()
+                if len(rows) >= 2048:
+                    yield batch_of()
+                    rows.clear()
+        if filled:
+            close()
+        if rows:
+            yield batch_of()
+
+    return kept.mapInArrow(cut, f"task int, place long, first_doc {dtype}, first_start long, n_docs long, n_tokens long, ids binary")
 
 
 def with_index(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -115,11 +146,9 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, key: int = 0
     """Writes ``docs`` in training order below ``out`` (a URI that all executors can write).
 
     Returns the manifest, a written table with a row per sequence: slot, shard, position,
-    doc_id, seq, n_tokens.  Rows that repeat get slots of their own; no rows, no shards.
+    and ``sequences``' first_doc, first_start, n_docs and n_tokens.  Rows that repeat get slots of their own; no rows, no shards.
     """
-    made = sequences(docs, path, end_id, length, **columns)
-    task = made.withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    written = materialise(task, "sequences")
+    written = materialise(sequences(docs, path, end_id, length, **columns), "sequences")
     rows, count = with_index(written)
     order = Feistel(max(1, count), key)
 
@@ -132,7 +161,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, key: int = 0
     ranged = rows.drop("index").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
     filesystem, root = fs.FileSystem.from_uri(out)
     filesystem.create_dir(root, recursive=True)
-    dtype = dict(rows.dtypes)["doc_id"]
+    kept = ["first_doc", "first_start", "n_docs", "n_tokens"]
+    dtype = dict(rows.dtypes)["first_doc"]
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds whole shards; one shard at a time is kept."""
@@ -147,11 +177,11 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, key: int = 0
                 now = int(shard[lo])
                 parts += batch.column("ids").slice(lo, hi - lo).to_pylist()
             position = pa.array(batch.column("slot").to_numpy() % per_shard)
-            yield pa.record_batch([*map(batch.column, ("slot", "shard")), position, *map(batch.column, ("doc_id", "seq", "n_tokens"))], ["slot", "shard", "position", "doc_id", "seq", "n_tokens"])
+            yield pa.record_batch([*map(batch.column, ("slot", "shard")), position, *map(batch.column, kept)], ["slot", "shard", "position", *kept])
         if now is not None:
             _put(target, posixpath.join(base, f"shard-{now:08d}.bin"), b"".join(parts))
 
-    manifest = materialise(ranged.select("slot", "shard", "doc_id", "seq", "n_tokens", "ids").mapInArrow(store, f"slot long, shard long, position long, doc_id {dtype}, seq long, n_tokens long"), "manifest")
+    manifest = materialise(ranged.select("slot", "shard", *kept, "ids").mapInArrow(store, f"slot long, shard long, position long, first_doc {dtype}, first_start long, n_docs long, n_tokens long"), "manifest")
     discard(written)
     return manifest
 

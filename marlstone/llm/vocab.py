@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import regex
 
-#: Chunks that are kept for each of two generations in a worker.
-MEMO_ENTRIES = 200_000
+#: Chunks that are kept for each of two generations in a worker, with counts and with ids.
+MEMO_ENTRIES, ID_ENTRIES = 200_000, 400_000
 #: Longer chunks are not kept.
 MEMO_CHARS = 48
 
@@ -76,16 +76,27 @@ def id_memo(path: str) -> Memo:
     def piece_ids(piece: str) -> bytes:
         return array("I", [t.id for t in model.tokenize("".join([symbols[b] for b in piece.encode()]))]).tobytes()
 
-    pieces = Memo(piece_ids)
+    pieces = Memo(piece_ids, ID_ENTRIES)
 
     def ids(chunk: str) -> bytes:
         if simple(chunk):
             return b"".join(map(pieces.__getitem__, PIECE.findall(chunk.lower())))
         return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return Memo(ids)
+    return Memo(ids, ID_ENTRIES)
+
+
+def lowered(text: str) -> str:
+    """The text in lower case if that is how the tokenizer sees it: single-byte letters, no special token."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def text_ids(path: str, text: str) -> bytes:
     """The ids of a whole text, as the library gives them, as unsigned 32-bit integers."""
-    return b"".join(map(id_memo(path).__getitem__, chunks(text)))
+    return b"".join(map(id_memo(path).__getitem__, chunks(lowered(text))))

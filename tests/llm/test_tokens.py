@@ -102,9 +102,19 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert sorted(manifest.slot) == list(range(len(manifest))) and (manifest.slot == manifest.shard * 8 + manifest.position).all()
     back = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in training_order.read_shards(spark, out, 16, 8).collect()}
     assert sorted(back) == list(range(len(manifest)))
-    for r in manifest.itertuples():
-        texts = [[*library(t or ""), 2] for i, t, *_ in rows if i == r.doc_id]
-        assert any(back[r.slot][: r.n_tokens].tolist() == ids[r.seq * 16 : r.seq * 16 + 16] for ids in texts)
+    order = training_order.Feistel(len(manifest), 5).slots(np.arange(len(manifest)))
+    by_slot = manifest.set_index("slot")
+    stream = [back[s][: by_slot.n_tokens[s]].tolist() for s in order]
+    # A task's documents stand one after another: their ids, then the end token.
+    texts = sorted([*library(t or ""), 2] for _, t, *_ in rows)
+    ids, found = [x for part in stream for x in part], []
+    while ids:
+        found.append(ids[: ids.index(2) + 1])
+        ids = ids[len(found[-1]) :]
+    assert sorted(found) == texts
+    assert (manifest.n_tokens <= 16).all() and manifest.n_tokens.sum() == sum(map(len, texts))
+    first = by_slot.loc[order[0]]
+    assert stream[0][0] == ([*library(dict((i, t) for i, t, *_ in rows)[first.first_doc] or ""), 2])[int(first.first_start)]
     rest = training_order.read_shards(spark, out, 16, 8, start_slot=11).collect()
     assert sorted(r["slot"] for r in rest) == list(range(11, len(manifest)))
     assert training_order.training_order(docs(spark, []), PATH, 2).count() == 0
