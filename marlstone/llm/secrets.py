@@ -44,6 +44,11 @@ def _term(c: int) -> int:
     return round(c * math.log2(c) * _SCALE) if c else 0
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """Array of (s, e, v): code points of each leftmost match, and the match's group ``group``.
 
@@ -76,24 +81,27 @@ def _window_bits(value: Column, alphabet: str) -> Column:
     """
     size = len(alphabet) + 1
     terms = F.array(*[F.lit(_term(c)).cast("long") for c in range(WINDOW + 1)])
-    symbol = lambda i: F.pmod(F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1))) + F.lit(size - 1), F.lit(size))
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(value)), symbol)
+    symbol = lambda c: F.pmod(F.instr(F.lit(alphabet), c) + F.lit(size - 1), F.lit(size))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), symbol)
 
     def moved(acc: Column, code: Column, by: int) -> Column:
-        before = F.get(acc["n"], code)
-        total = acc["t"] + F.get(terms, before + by) - F.get(terms, before)
-        counts = F.transform(acc["n"], lambda c, i: F.when(i == code, c + by).otherwise(c))
-        return F.struct(counts.alias("n"), total.alias("t"), acc["k"].alias("k"), acc["least"].alias("least"))
+        def counted(before: Column) -> Column:
+            n = F.concat(F.slice(acc["n"], F.lit(1), code), F.array(before + by), F.slice(acc["n"], code + 2, F.lit(size)))
+            return F.struct(n.alias("n"), (acc["t"] + F.get(terms, before + by) - F.get(terms, before)).alias("t"))
+
+        return _let(F.get(acc["n"], code), counted)
 
     def step(acc: Column, x: Column) -> Column:
-        grown = moved(acc, x["new"], 1)
-        slid = F.when(x["old"].isNotNull(), moved(grown, x["old"], -1)).otherwise(grown)
-        k = acc["k"] + 1
-        least = F.when(k >= WINDOW, F.least(acc["least"], slid["t"])).otherwise(acc["least"])
-        return F.struct(slid["n"].alias("n"), slid["t"].alias("t"), k.alias("k"), least.alias("least"))
+        def seen(slid: Column) -> Column:
+            k = acc["k"] + 1
+            least = F.when(k >= WINDOW, F.least(acc["least"], slid["t"])).otherwise(acc["least"])
+            return F.struct(slid["n"].alias("n"), slid["t"].alias("t"), k.alias("k"), least.alias("least"))
+
+        return _let(_let(moved(acc, x["new"], 1), lambda grown: F.when(x["old"].isNotNull(), moved(grown, x["old"], -1)).otherwise(grown)), seen)
 
     zero = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0).cast("long").alias("t"), F.lit(0).alias("k"), F.lit(_term(WINDOW)).cast("long").alias("least"))
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.get(codes, i - WINDOW).alias("old")))
+    # The array is bound first, else it would be made again for each of its items.
+    pairs = _let(codes, lambda all_: F.transform(all_, lambda c, i: F.struct(c.alias("new"), F.get(all_, i - WINDOW).alias("old"))))
     least = F.aggregate(pairs, zero, step, lambda acc: acc["least"])
     return (F.lit(_term(WINDOW)) - least) / F.lit(_SCALE * WINDOW)
 
