@@ -103,14 +103,25 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(_shuffled(rest, _tweak(key, "email")), F.substring(v, F.char_length(rest) + 1, F.char_length(v)))
 
 
+def _permute_octets(octets: Column, tweak: Column) -> Column:
+    """One pass over an address's numbers: each is shifted among those of its length by all before it."""
+
+    def step(acc: Column, x: Column) -> Column:
+        low = F.when(x < 10, 0).when(x < 100, 10).otherwise(100)
+        size = F.when(x < 10, 10).when(x < 100, 90).otherwise(156)
+        new = low + F.pmod(x - low + _number(F.concat_ws("|", tweak, acc["seen"]), 1 << 31), size.cast("long"))
+        return F.struct(F.concat_ws(".", acc["seen"], x.cast("string")).alias("seen"), F.concat(acc["out"], F.array(new)).alias("out"))
+
+    start = F.struct(F.lit("").alias("seen"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(octets, start, step, lambda acc: acc["out"])
+
+
 def _ip(v: Column, key: str) -> Column:
-    """The first number stays; the other 24 bits pass a Feistel network of four rounds."""
+    """The first number stays; the others change in two passes and keep their lengths."""
     o = F.transform(F.split(v, r"\."), lambda x: x.cast("long"))
-    low = F.get(o, 1) * 65536 + F.get(o, 2) * 256 + F.get(o, 3)
-    start = F.struct(F.shiftright(low, 12).alias("l"), low.bitwiseAND(F.lit(4095)).alias("r"))
-    mixed = lambda acc, i: F.pmod(acc["l"] + _number(_tweak(key, "ip", F.get(o, 0).cast("string"), i.cast("string"), acc["r"].cast("string")), 4096), F.lit(4096).cast("long"))
-    n = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, lambda acc, i: F.struct(acc["r"].alias("l"), mixed(acc, i).alias("r")), lambda acc: acc["l"] * 4096 + acc["r"])
-    return _let(n, lambda x: F.concat_ws(".", F.get(o, 0), F.shiftright(x, 16), F.shiftright(x, 8).bitwiseAND(F.lit(255)), x.bitwiseAND(F.lit(255))))
+    tweak = lambda turn: _tweak(key, "ip", F.lit(turn), F.get(o, 0).cast("string"))
+    once = F.reverse(_permute_octets(F.slice(o, 2, 3), tweak("1")))
+    return F.concat_ws(".", F.get(o, 0), F.array_join(F.transform(F.reverse(_permute_octets(once, tweak("2"))), lambda x: x.cast("string")), "."))
 
 
 def _check_digit(digits: Column) -> Column:
