@@ -4,11 +4,13 @@ Unit vectors are turned by pseudo-random rotations, three rounds of random signs
 Hadamard transform, and assigned to the nearest signed axis.  A table's key joins the
 axes of several rotations; as vectors become more, so do the rotations of a key, which
 keeps groups as small as before.  Queries also visit the keys that they nearly had
-(multiprobe).  What a query meets in any table is ranked by the exact cosine.
+(multiprobe), more of them as keys become more.  What a query meets in any table is ranked
+by the exact cosine.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,17 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import discard, materialise
 
-#: Tables, keys that a query visits in each, and vectors that a key holds on average.
+#: Tables, keys that a query visits in each at least, and vectors that a key holds on average.
 TABLES, PROBES, GROUP = 12, 24, 64
 #: Vectors of a key that one task compares at a time; larger groups are cut into such blocks.
 BLOCK = 2048
 
 
+def probes_for(count: int, group: int = GROUP) -> int:
+    """Keys to visit in each table: the square root of all keys, which keeps the recall as vectors become more."""
+    return max(PROBES, math.ceil(math.sqrt(count / group)))
+
+
 def hadamard(n: int) -> np.ndarray:
     h = np.ones((1, 1))
     while len(h) < n:
@@ -137,14 +144,15 @@ def _met(queries: DataFrame, index: DataFrame, k: int, block: int) -> DataFrame:
     return met.applyInPandas(_best_in_block(k), "qid long, vid long, score double").groupBy("qid", "vid").agg(F.max("score").alias("score"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest found of ``vectors`` for each row of ``queries``: query_id, rank, vec_id, score.
 
     ``queries`` are rows of ``vectors`` (same ids); a row is not its own neighbour.
     Nearness is the cosine in double precision, ties go to the smaller id.  Vectors that
     are null, zero, of another length than the most, or hold null or non-finite components,
     and rows without an id, take no part; rows that repeat an id count once.  Equal vectors
-    are one vector with its ``k`` + 1 smallest ids, so many copies are compared once.  A
+    are one vector with its ``k`` + 1 smallest ids, so many copies are compared once.
+    Without ``probes`` their number follows that of the vectors (``probes_for``).  A
     query that meets fewer than ``k`` others visits all keys.
     """
     clean = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -168,7 +176,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     count = classes.count()
     hasher = CrossPolytope(dims["d"], max(1.0, np.log2(max(2, count) / group)), tables)
     sought = classes.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi")
-    met = materialise(_met(_keyed(sought, hasher, probes), _keyed(classes, hasher, None), k + 1, block), "met")
+    met = materialise(_met(_keyed(sought, hasher, probes or probes_for(count, group)), _keyed(classes, hasher, None), k + 1, block), "met")
     # Each class met stands for at most k + 1 ids, enough to fill the ranks without the query's own.
     few = met.join(members.withColumnRenamed("vec_id", "member").join(named, "digest").groupBy("vid").agg(F.count(F.lit(1)).alias("m")), "vid").groupBy("qid").agg(F.sum("m").alias("m"))
     starved = asked.select("qid").distinct().join(few, "qid", "left").where(F.coalesce("m", F.lit(0)) < k + 1).select(F.col("qid").alias("vid"))

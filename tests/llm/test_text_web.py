@@ -146,6 +146,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("count", [50_000, 1_000_000])
+def test_probes_keep_the_recall_as_vectors_become_more(count):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(count, 64)).astype(np.float32)  # no structure: nothing is nearer than by chance
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = v[:100] @ v.T
+    near[np.arange(100), np.arange(100)] = -1
+    true = np.argpartition(-near, 5, axis=1)[:, :5]
+    hasher = neighbours.CrossPolytope(64, np.log2(count / neighbours.GROUP))
+    visited = hasher.probes(v[:100].astype(float), neighbours.probes_for(count))
+    keys = hasher.keys(v[true.ravel()].astype(float)).reshape(100, 5, hasher.tables)
+    met = [any(keys[q, j, t] in visited[q, t] for t in range(hasher.tables)) for q in range(100) for j in range(5)]
+    assert np.mean(met) >= 0.9
+
+
 def test_mix_by_hand(spark):
     rng = random.Random(1)
     rows = [(i, s, " ".join(["w"] * rng.randint(1, 9))) for i, s in enumerate(["big"] * 600 + ["mid"] * 200 + ["low"] * 100 + [None] * 50)]
