@@ -27,10 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; of rows that repeat, one."""
-    verdicts = near_duplicates(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
-    gone = materialise(verdicts.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The first row of each group of near-duplicates, by doc_id; of rows that repeat, one.
+
+    Verdicts are by row, as an id may be null or stand for several texts.  Rows without
+    words are alike only if their ids and texts are.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    verdicts = near_duplicates(numbered, id_col="_row", words=SHINGLE_WORDS, similarity=SIMILARITY).withColumnRenamed("doc_id", "_row")
+    blank = F.col("n_shingles") == 0
+    alike = [F.when(~blank, F.col("component_id")).alias("g0"), F.when(blank, F.col("doc_id")).alias("g1"), F.when(blank, F.col("digest")).alias("g2")]
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    ids = numbered.select("_row", "doc_id", F.sha2("text", 256).alias("digest"))
+    first = verdicts.join(ids.hint("merge"), "_row").groupBy(*alike).agg(F.min(own)["_row"].alias("_row"))
+    kept = materialise(first.select("_row"), "kept")
+    return numbered.join(small(kept), "_row", "left_semi").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
