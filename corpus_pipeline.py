@@ -16,6 +16,7 @@ from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import with_surrogates
 from marlstone.llm.quality import quality_verdicts
 from marlstone.llm.registry import PII_KEY, vocabulary
+from marlstone.llm.vocab import with_token_counts
 
 #: Near-duplicates share words in shingles of five.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -51,7 +52,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; smaller sources again, up to twice, for a flatter mix."""
-    return mix(docs).select(*docs.columns)
+    counted = materialise(with_token_counts(docs, vocabulary(), "_tokens"), "counted")
+    return mix(counted, tokens=F.col("_tokens")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,9 +53,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.common import materialise
     from marlstone.llm.mixing import mix
+    from marlstone.llm.vocab import with_token_counts
 
-    out = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = with_token_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), vocabulary(), "n_tokens")
+    out = mix(materialise(docs.drop("text"), "tokens"), tokens=F.col("n_tokens"))
     return out.select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_order", "mix_weight")
 
 

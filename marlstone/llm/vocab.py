@@ -11,6 +11,8 @@ from array import array
 from functools import lru_cache
 
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Chunks that are kept for each of two generations in a worker, with counts and with ids.
 MEMO_ENTRIES, ID_ENTRIES = 200_000, 400_000
@@ -100,3 +102,13 @@ def lowered(text: str) -> str:
 def text_ids(path: str, text: str) -> bytes:
     """The ids of a whole text, as the library gives them, as unsigned 32-bit integers."""
     return b"".join(map(id_memo(path).__getitem__, chunks(lowered(text))))
+
+
+def with_token_counts(docs: DataFrame, path: str, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the tokens of each text, as packing counts them but for its end mark, in column ``name``."""
+
+    @F.pandas_udf("long")
+    def count(texts):
+        return texts.map(lambda t: len(text_ids(path, t)) // 4)
+
+    return docs.withColumn(name, count(F.coalesce(F.col(text_col), F.lit(""))))

@@ -1,6 +1,8 @@
 """The stages of the corpus pipeline on small cases."""
 
 import corpus_pipeline
+from marlstone.llm.registry import op6_source_mix, vocabulary
+from marlstone.llm.vocab import text_ids
 
 LONG = " ".join(f"word{i}" for i in range(60))
 NEAR = LONG.replace("word59", "end")
@@ -14,3 +16,17 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     want = [(5, LONG), (7, other), (None, "x y z"), (9, ""), (10, ""), (None, None)]
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixing_counts_the_tokens_that_packing_packs(spark, tmp_path):
+    rows = [(i, "words", "a few words here") for i in range(20)] + [(100 + i, "unspaced", "中文" * 40 + str(i)) for i in range(20)] + [(200, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    count = {i: len(text_ids(vocabulary(), t or "")) // 4 for i, _, t in rows}
+    got = op6_source_mix(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["mix_tokens"] for r in got} == count
+    # The unspaced source is the largest and is used once; the other one is repeated.
+    uses = lambda rs, s: sum(r["source"] == s for r in rs)
+    assert uses(got, "unspaced") == 20 and uses(got, "words") > 20
+    staged = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert uses(staged, "unspaced") == 20 and uses(staged, "words") == uses(got, "words")
