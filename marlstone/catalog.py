@@ -84,7 +84,7 @@ def j2_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def agg40_bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = _part_curve(spark, sf_dir).where("rate <= 12").withColumn("one", F.lit(1))
+    curve = _part_curve(spark, sf_dir).withColumn("one", F.lit(1))
     return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").drop("one")
 
 
