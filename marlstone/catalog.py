@@ -88,10 +88,10 @@ def agg40_bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").drop("one")
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def j5_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid_ = table(spark, sf_dir, "customer").select("c_custkey")
-    return sweep.pending(grid_, table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return sweep.pending(grid_, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @_query("""SELECT n_nationkey, m.o_orderstatus, q.qp FROM nation, (SELECT DISTINCT o_orderstatus FROM orders) m, (SELECT unnest([22, 27, 32, 37]) AS qp) q""")
@@ -323,9 +323,12 @@ def snk19_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@_query("""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS stem FROM pages""")
+_NO_SUFFIX = r"regexp_replace(url, '([^/])\.[^./]+$', '\1')"
+
+
+@_query(f"SELECT page_id, regexp_replace({_NO_SUFFIX}, '[^A-Za-z0-9_.-]+', '_', 'g') AS stem, regexp_replace({_NO_SUFFIX}, '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') AS stem_each FROM pages")
 def fn28_safe_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", scalars.safe_stem(F.col("url")).alias("stem"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.safe_stem(F.col("url")).alias("stem"), scalars.safe_stem_each(F.col("url")).alias("stem_each"))
 
 
 @_query("""SELECT o_orderkey, round(round(o_totalprice * 8 / 1000, 8), 6) AS bpp, CAST(greatest(round(o_totalprice * 1000 / 8), 1) AS BIGINT) AS budget,
@@ -341,3 +344,6 @@ def prj1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn15_quantiser_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(scalars.rd_lambda(size), 6).alias("rd_lambda"), F.round(scalars.sad_lambda(size), 6).alias("sad_lambda"), scalars.chroma_qp(size).alias("chroma_qp"), scalars.mode_name(size).alias("mode"))
+
+
+import marlstone.catalog_cells  # noqa: E402, F401  (adds its queries)

@@ -49,8 +49,8 @@ def margin_bucket(margin: Column) -> Column:
 
 
 def angular_family(mode: Column) -> Column:
-    """Direction family of an intra mode: horizontal 2-17, diagonal around 18, vertical 19-34."""
-    return F.when(mode < 2, "none").when(mode.between(15, 21), "D").when(mode < 18, "H").otherwise("V")
+    """Direction family of an intra mode: H for 2-9, D for 10-25, V for 26-34, null for any other."""
+    return F.when(mode.between(2, 9), "H").when(mode.between(10, 25), "D").when(mode.between(26, 34), "V")
 
 
 def mode_name(mode: Column) -> Column:
@@ -72,9 +72,10 @@ def psnr(mse: Column, peak: float = 255.0) -> Column:
 
 
 def blended_psnr(y: Column, cb: Column, cr: Column) -> Column:
-    """6:1:1 blend of the planes' mean errors on the log scale; luma alone if any is not finite."""
+    """Decibels of the planes' mean errors blended 6:1:1; luma alone if any is not finite."""
     finite = F.abs(y + cb + cr) < F.lit(float("inf"))
-    return F.when(finite, (y * 6 + cb + cr) / 8).otherwise(y)
+    error = lambda db: F.pow(F.lit(10.0), -db / 10)
+    return F.when(finite, F.lit(-10.0) * F.log10((error(y) * 6 + error(cb) + error(cr)) / 8)).otherwise(y)
 
 
 def blended_quality(ssim: Column, psnr_db: Column, weight: float) -> Column:
@@ -82,9 +83,9 @@ def blended_quality(ssim: Column, psnr_db: Column, weight: float) -> Column:
     return F.lit(weight) * (F.lit(-10.0) * F.log10(loss)) + F.lit(1 - weight) * F.least(psnr_db, F.lit(99.0))
 
 
-def importance_offset(importance: Column) -> Column:
-    """+8 for the least important cells to +1 for the most (importance 0 to 1)."""
-    t = F.greatest(F.least(importance, F.lit(1.0)), F.lit(0.0))
+def importance_offset(importance_q8: Column) -> Column:
+    """+8 for the least important cells to +1 for the most (importance 0 to 256)."""
+    t = F.least(importance_q8, F.lit(256)) / F.lit(256.0)
     return F.round(F.lit(1.0) + (F.lit(1.0) - t) * 7).cast("int")
 
 
@@ -116,9 +117,19 @@ def entropy_q8(bins: Column) -> Column:
     return F.when(total > 0, F.round(h / F.log2(F.size(bins)) * 256)).otherwise(F.lit(0)).cast("int")
 
 
-def safe_stem(name: Column) -> Column:
-    """A file stem: runs of other characters become one underscore, those at the ends go."""
-    return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
+def _without_suffix(path: Column) -> Column:
+    """A path without the last suffix of its name; a name that only starts with a dot has none."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", "")
+
+
+def safe_stem(path: Column) -> Column:
+    """A file stem: the suffix goes, runs of other characters become one underscore."""
+    return F.regexp_replace(_without_suffix(path), r"[^A-Za-z0-9_.-]+", "_")
+
+
+def safe_stem_each(path: Column) -> Column:
+    """A file stem: the suffix goes, each other character becomes an underscore; letters of any script stay."""
+    return F.regexp_replace(_without_suffix(path), r"[^\p{L}\p{N}._-]", "_")
 
 
 def list_items(text: Column) -> Column:
@@ -126,10 +137,15 @@ def list_items(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def memory_estimate(width: Column, height: Column, bytes_per_sample: Column, chroma_samples: Column) -> Column:
-    """Bytes to decode an image: its planes (luma and a share of chroma), RGB output, one eighth for maps."""
-    px = width * height
-    return (px * bytes_per_sample * (F.lit(1.0) + chroma_samples) + px * 3 * bytes_per_sample + px / 8).cast("long")
+def memory_estimate(width: Column, height: Column, chroma: Column) -> Column:
+    """Bytes to decode an image: planes of two bytes a sample, four bytes a pixel of output, an eighth for maps.
+
+    ``chroma`` is 'gray', '420', '422' or '444'; odd sizes round chroma up.
+    """
+    px = (width * height).cast("long")
+    half = lambda x: F.ceil(x / 2).cast("long")
+    planes = F.when(chroma == "420", half(width) * half(height)).when(chroma == "422", half(width) * height).when(chroma == "444", px).otherwise(F.lit(0))
+    return (px + planes * 2) * 2 + px * 4 + F.floor(px / 8).cast("long")
 
 
 def transformed_size(width: Column, height: Column, transforms: Column) -> Column:

@@ -23,6 +23,27 @@ def variant_summary(runs: DataFrame, by: Sequence[str], measures: Sequence[str],
     return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"), *means)
 
 
+def exact_medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group the exact ``median`` of a number, whatever the size of a group.
+
+    Approximate percentiles around the middle give a band of values that must hold it.  All
+    others are counted on their side of the band before the shuffle; only the band's
+    distinct values, a few thousandths of a group, are put in order.  Groups without
+    values are left out.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    band = rows.groupBy(*by).agg(F.percentile_approx("_v", F.array(F.lit(0.498), F.lit(0.502)), F.lit(10_000)).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    left = rows.join(band.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_b", "_n"), [rows[c].eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    # Values beyond the band stand at infinity on their side.
+    place = F.when(F.col("_v") < F.col("_b")[0], F.lit(float("-inf"))).when(F.col("_v") > F.col("_b")[1], F.lit(float("inf"))).otherwise(F.col("_v"))
+    counted = left.groupBy(*by, place.alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_p"))
+    ranked = counted.withColumn("_u", upto)
+    at = lambda rank: F.min(F.when(F.col("_u") > rank, F.col("_p")))
+    return ranked.groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias("median"))
+
+
 def metric_summary(runs: DataFrame, by: Sequence[str], higher_better: dict[str, bool], digits: int = 6) -> DataFrame:
     """Per variant and metric: mean, exact median, worst value and count.
 
@@ -31,12 +52,14 @@ def metric_summary(runs: DataFrame, by: Sequence[str], higher_better: dict[str,
     keyed = runs.select(*by, *[values(m).alias(m) for m in higher_better])
     long = keyed.unpivot(list(by), list(higher_better), "metric", "value").where(F.col("value").isNotNull())
     better = F.col("metric").isin([m for m, up in higher_better.items() if up])
-    return long.groupBy(*by, "metric").agg(
+    middle = exact_medians(long, [*by, "metric"], "value").select(*[F.col(c).alias(f"_by_{c}") for c in (*by, "metric")], F.round("median", digits).alias("median_value"))
+    out = long.groupBy(*by, "metric").agg(
         F.round(F.avg("value"), digits).alias("mean_value"),
-        F.round(F.median("value"), digits).alias("median_value"),
         F.when(F.first(better), F.min("value")).otherwise(F.max("value")).alias("worst_value"),
         F.count("value").alias("n"),
     )
+    keys = [*by, "metric"]
+    return out.join(middle, [out[c].eqNullSafe(F.col(f"_by_{c}")) for c in keys], "left").select(*keys, "mean_value", "median_value", "worst_value", "n")
 
 
 def size_spread(runs: DataFrame, by: Sequence[str], size: str) -> DataFrame:
@@ -113,6 +136,26 @@ def bd_rate_of(rate_a: Sequence[float], metric_a: Sequence[float], rate_b: Seque
     return float(out) if np.isfinite(out) else None
 
 
+def bd_rate_pairs(runs: DataFrame, on: Sequence[str], encoder: str, setting: str, baseline: str, rate: str, metrics: Sequence[str]) -> DataFrame:
+    """BD-rate of every encoder and setting against every setting of the ``baseline`` encoder, per group and metric.
+
+    Returns on..., test, ref, metric, points (the smaller number of runs) and bd_rate_pct,
+    null with fewer than four points on a side.  Curves are a handful of points each.
+    """
+    point = lambda m: F.when(F.col(m).isNotNull() & F.col(rate).isNotNull(), F.struct(F.col(m).cast("double").alias("m"), F.col(rate).cast("double").alias("r")))
+    curves = runs.groupBy(*on, encoder, setting).agg(F.count(F.lit(1)).alias("n"), *[F.sort_array(F.collect_list(point(m))).alias(f"c_{m}") for m in metrics])
+    name = F.concat_ws("-", encoder, setting)
+    test = curves.where(F.col(encoder) != baseline).select(*on, name.alias("test"), F.col("n").alias("tn"), *[F.col(f"c_{m}").alias(f"t_{m}") for m in metrics])
+    ref = curves.where(F.col(encoder) == baseline).select(*on, name.alias("ref"), F.col("n").alias("rn"), *[F.col(f"c_{m}").alias(f"r_{m}") for m in metrics])
+
+    @F.pandas_udf("double")
+    def bd(ra: pd.Series, ma: pd.Series, rb: pd.Series, mb: pd.Series) -> pd.Series:
+        return pd.Series([bd_rate_of(*x) for x in zip(ra, ma, rb, mb, strict=True)], dtype="float64")
+
+    long = test.join(ref, list(on)).select(*on, "test", "ref", F.least("tn", "rn").alias("points"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"t_{m}").alias("t"), F.col(f"r_{m}").alias("r")) for m in metrics])).alias("p"))
+    return long.select(*on, "test", "ref", "points", "p.metric", bd("p.r.r", "p.r.m", "p.t.r", "p.t.m").alias("bd_rate_pct"))
+
+
 def bd_rate(runs: DataFrame, on: Sequence[str], variant: str, baseline: str, rate: str, metric: str) -> DataFrame:
     """BD-rate of every variant against ``baseline`` per group; null with fewer than four points on a side.
 
@@ -155,12 +198,14 @@ def offset_stats(cells: DataFrame, by: Sequence[str], offset: str) -> DataFrame:
 
 def timing_summary(runs: DataFrame, label: str, seconds: str) -> DataFrame:
     s = F.col(seconds)
-    return runs.groupBy(label).agg(F.min(s).alias("min_s"), F.round(F.avg(s), 6).alias("mean_s"), F.median(s).alias("median_s"), F.count(s).alias("n"))
+    middle = exact_medians(runs, [label], seconds).select(F.col(label).alias("_label"), F.col("median").alias("median_s"))
+    out = runs.groupBy(label).agg(F.min(s).alias("min_s"), F.round(F.avg(s), 6).alias("mean_s"), F.count(s).alias("n"))
+    return out.join(middle, F.col(label).eqNullSafe(F.col("_label")), "left").select(label, "min_s", "mean_s", "median_s", "n")
 
 
 def same_bytes(outputs: DataFrame, by: Sequence[str], digest: str) -> DataFrame:
     """Whether all outputs of a group are the same bytes."""
-    return outputs.groupBy(*by).agg((F.count_distinct(digest) == 1).alias("identical"), F.count(F.lit(1)).alias("n"))
+    return outputs.groupBy(*by).agg(F.coalesce(F.min(digest) == F.max(digest), F.lit(False)).alias("identical"), F.count(F.lit(1)).alias("n"))
 
 
 def best_under_budget(sizes: DataFrame, by: Sequence[str], level: str, size: str, budget: Column, fallback: int) -> DataFrame:
@@ -171,12 +216,13 @@ def best_under_budget(sizes: DataFrame, by: Sequence[str], level: str, size: str
 
 def shortlist(candidates: DataFrame, by: Sequence[str], cost: str, tie: str, factor: float, cap: int) -> DataFrame:
     """Per group, candidates below ``factor`` times the least cost, the ``cap`` cheapest of them, ranked."""
-    w = Window.partitionBy(*by)
-    near = candidates.withColumn("best", F.min(cost).over(w)).where(F.col(cost) < F.col("best") * factor).drop("best")
-    return near.withColumn("rank", F.row_number().over(w.orderBy(cost, tie))).where(F.col("rank") <= cap)
+    best = candidates.groupBy(*by).agg(F.min(cost).alias("_best")).select(*[F.col(c).alias(f"_by_{c}") for c in by], "_best")
+    near = candidates.join(best, [candidates[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]).where(F.col(cost) < F.col("_best") * factor).select(*candidates.columns)
+    # Spark keeps only the first ``cap`` of each group before the shuffle.
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(cost, tie))).where(F.col("rank") <= cap)
 
 
 def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Ordered de-duplication: the first row of each key."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_by_{k}") for k in key]).agg(first).select("_row.*")

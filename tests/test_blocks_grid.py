@@ -53,7 +53,14 @@ def test_scalars(spark):
     assert one(spark, scalars.psnr(lit(0.0))) == float("inf")
     assert one(spark, scalars.share(lit(1), lit(0))) == 0.0
     assert one(spark, scalars.entropy_q8(F.array(*map(lit, [1, 1, 1, 1])))) == 256
-    assert one(spark, scalars.safe_stem(lit("a b//c.png"))) == "a_b_c.png"
+    # As the published harness does: no suffix, runs of other characters become one underscore.
+    assert one(spark, scalars.safe_stem(lit("_a b:;/c.d.png"))) == "_a_b_c.d"
+    assert one(spark, scalars.safe_stem_each(lit("é b::c.png"))) == "é_b__c" and one(spark, scalars.safe_stem(lit("a/.png"))) == "a_.png"
+    assert [one(spark, scalars.importance_offset(lit(i))) for i in (0, 128, 256, 999)] == [8, 5, 1, 1]
+    assert [one(spark, scalars.angular_family(lit(m))) for m in (1, 2, 9, 10, 25, 26, 34, 35)] == [None, "H", "H", "D", "D", "V", "V", None]
+    assert abs(one(spark, scalars.blended_psnr(lit(40.0), lit(30.0), lit(30.0))) - 34.8812) < 1e-3
+    assert one(spark, scalars.blended_psnr(lit(40.0), lit(float("inf")), lit(30.0))) == 40.0
+    assert one(spark, scalars.memory_estimate(lit(5), lit(3), lit("420"))) == (15 + 2 * 6) * 2 + 60 + 1
     assert one(spark, scalars.list_items(lit(" a,,b "))) == ["a", "b"]
     assert one(spark, scalars.interpolate_log_rate(lit(2.0), lit(1.0), lit(10.0), lit(4.0), lit(20.0))) == pytest.approx(15.0)
     assert tuple(one(spark, scalars.transformed_size(lit(4), lit(3), F.array(lit("rot90"), lit("mirror"))))) == (3, 4)
