@@ -6,13 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns is sent to every executor.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of text that a Python worker turns into objects at a time.
+SLICE_BYTES = 4 << 20
+
 _own_dir: list[str] = []
 
 
@@ -21,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="marlstone-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -31,10 +40,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, outlives executors."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.marlstone_path = path
     return out
@@ -58,3 +67,14 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
 
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows whose ``column`` has at most ``size`` bytes, or of one longer row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])

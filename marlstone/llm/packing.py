@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise
+from marlstone.llm.common import materialise, slices
 from marlstone.llm.vocab import text_ids
 
 #: Tokens of a sequence.
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at: list[int] = []
             start, length, crc, tokens = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):

@@ -10,12 +10,14 @@ from __future__ import annotations
 from array import array
 from functools import lru_cache
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that are kept for each of two generations in a worker, with counts and with ids.
-MEMO_ENTRIES, ID_ENTRIES = 200_000, 400_000
+#: Bytes that each of a memo's two generations holds, by the estimate that ``ENTRY`` bytes
+#: come on top of a result; an entry of a usual word takes about 150.
+MEMO_BYTES, ENTRY = 48 << 20, 130
 #: Longer chunks are not kept.
 MEMO_CHARS = 48
 
@@ -23,21 +25,25 @@ MEMO_CHARS = 48
 class Memo(dict):
     """A function's latest results: the older of two generations goes when the younger is full."""
 
-    def __init__(self, fn, entries: int = MEMO_ENTRIES):
+    def __init__(self, fn, size: int = MEMO_BYTES):
         super().__init__()
-        self.fn, self.entries, self.old = fn, entries, {}
+        self.fn, self.size, self.held, self.old = fn, size, 0, {}
 
-    def __missing__(self, key):
+    def __missing__(self, key: str):
         found = self.old.get(key)
         if found is None:
             found = self.fn(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
+            self.put(key, found)
         return found
 
+    def put(self, key: str, found) -> None:
+        if self.held >= self.size:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = found
+        self.held += ENTRY + (len(key) if key.isascii() else 4 * len(key)) + len(found)
+
 
 def chunks(text: str) -> list[str]:
     """The text between single spaces, tabs and line ends; empty strings between adjacent ones.
@@ -67,25 +73,40 @@ PIECE = regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 def simple(chunk: str) -> bool:
     """Latin letters in normal form, no special token: each code point is lower-cased alone."""
-    return chunk.isascii() and "<|" not in chunk or ord(max(chunk, default=" ")) < 0x250 and "<|" not in chunk and all(len(c.lower()) == 1 for c in chunk)
+    return "<|" not in chunk and (chunk.isascii() or ord(max(chunk)) < 0x250 and "İ" not in chunk)
 
 
 @lru_cache(maxsize=4)
 def id_memo(path: str) -> Memo:
     """Chunk -> its ids as little-endian unsigned 32-bit integers."""
-    model, encode, symbols = tokenizer(path).model, tokenizer(path).encode, byte_symbols()
+    tokenize, encode = tokenizer(path).model.tokenize, tokenizer(path).encode
+    symbol = dict(enumerate(byte_symbols()))
 
     def piece_ids(piece: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize("".join([symbols[b] for b in piece.encode()]))]).tobytes()
+        return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(symbol))]).tobytes()
 
-    pieces = Memo(piece_ids, ID_ENTRIES)
+    # Marks and single digits, which most chunks end in, are few.
+    short = {}
 
     def ids(chunk: str) -> bytes:
-        if simple(chunk):
-            return b"".join(map(pieces.__getitem__, PIECE.findall(chunk.lower())))
-        return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    return Memo(ids, ID_ENTRIES)
+        if not simple(chunk):
+            return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return piece_ids(chunk)
+        out = []
+        for piece in PIECE.findall(chunk):
+            if len(piece) > 2:
+                out.append(piece_ids(piece))
+                continue
+            if piece not in short:
+                if len(short) >= 10_000:
+                    short.clear()
+                short[piece] = piece_ids(piece)
+            out.append(short[piece])
+        return b"".join(out)
+
+    return Memo(ids)
 
 
 def lowered(text: str) -> str:
@@ -108,7 +129,7 @@ def with_token_counts(docs: DataFrame, path: str, name: str, text_col: str = "te
     """``docs`` with the tokens of each text, as packing counts them but for its end mark, in column ``name``."""
 
     @F.pandas_udf("long")
-    def count(texts):
+    def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(text_ids(path, t)) // 4)
 
     return docs.withColumn(name, count(F.coalesce(F.col(text_col), F.lit(""))))
