@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import discard, materialise, small
+from marlstone.llm.common import discard, materialise, slices, small
 
 #: Band keys of a collection, and minhashes of a band key.
 BANDS, ROWS = 24, 4
@@ -93,7 +93,7 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             size, digest, keys, ends = [], [], [], [0]
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, d1 long, d2 long, shingles array<long>"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
             d = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -157,9 +157,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select("a", "b")
     labels = None
     made = []
-    for turn in range(200):
-        if edges.isEmpty():
-            break
+    turn = 0
+    # A round leaves at most three quarters of the nodes that still have links, on average.
+    while not edges.isEmpty():
+        turn += 1
         rank = F.struct(F.xxhash64("y", F.lit(turn)).alias("r"), F.col("y"))
         ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select(F.col("b"), F.col("a")))
         ends = ends.union(ends.select("x", F.col("x").alias("y")))
