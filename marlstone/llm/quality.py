@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, small
+from marlstone.llm.common import materialise, slices, small
 
 #: White space between words, and the symbols that are counted.
 SPACE = b" \t\n\v\f\r"
@@ -86,7 +86,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep_text: bool = True)
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.select(*names).dtypes] + [f"{c} long" for c in STATS])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             stats = [text_stats(t) for t in batch.column(text_col).to_pylist()]
             columns = [pa.array([s[k] for s in stats], pa.int64()) for k in range(len(STATS))]
             yield pa.record_batch([*map(batch.column, names), *columns], [*names, *STATS])
@@ -127,6 +127,6 @@ def quality_verdicts(docs: DataFrame, host_col: str = "source", text_col: str =
     measured rows are written once: hosts are counted from, and joined back to, that table.
     """
     measured = materialise(with_stats(docs.drop("host_rate", "kept"), text_col, keep_text), "quality")
-    rates = materialise(host_rates(measured, host_col).select("host", "host_rate"), "hosts")
-    joined = measured.join(small(rates), measured[host_col].eqNullSafe(rates["host"]), "left").drop("host")
+    rates = materialise(host_rates(measured, host_col).select(F.col("host").alias("_rated_host"), F.col("host_rate").alias("_host_rate")), "hosts")
+    joined = measured.join(small(rates), measured[host_col].eqNullSafe(rates["_rated_host"]), "left").drop("_rated_host").withColumnRenamed("_host_rate", "host_rate")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))

@@ -108,7 +108,9 @@ def test_bad_hosts_are_rejected_as_a_whole(spark):
     good = " ".join(f"w{i}" for i in range(40))
     rows = [(i, "bad", "short") for i in range(50)] + [(100, "bad", good)] + [(200 + i, f"fine{i % 4}", good) for i in range(80)] + [(400, None, good), (401, None, None), (402, "single", "short")]
     docs = spark.createDataFrame([(*r, 0, "y") for r in rows], "doc_id long, source string, text string, kept int, host string")
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
+    out = quality.quality_verdicts(docs)
+    assert {r["host"] for r in out.select("host").collect()} == {"y"}
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
     assert not kept[100] and not kept[0] and kept[200] and kept[400] and not kept[401] and not kept[402]
     empty = quality.quality_verdicts(docs.limit(0))
     assert empty.count() == 0 and {"kept", "host_rate", "text"} <= set(empty.columns)
