@@ -34,9 +34,9 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.llm.token_counts import prefix_table, truncation
+    from marlstone.llm.token_counts import prefix_table
 
-    counts = truncation(prefix_table(_table(spark, sf_dir, "documents"), vocabulary()), 2048)
+    counts = prefix_table(_table(spark, sf_dir, "documents"), vocabulary(), budget=2048, keep_table=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars")
 
 

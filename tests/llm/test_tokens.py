@@ -4,11 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from marlstone.llm import packing, token_counts, training_order, vocab  # noqa: E402
+from marlstone.llm.common import slices  # noqa: E402
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 TEXTS = ["", "Hello wOrld's  tokens, don't!!'s", "naïve Élan 12ab", "a<|startoftext|><|endoftext|>b <|endof", "日本語 テキスト ét́e", "İstanbul ΑΣ ß ſt", "x" * 300, "=/+AbC9 \t\n\r\x0b end", None]
@@ -36,11 +38,52 @@ def test_random_chunks():
         assert token_counts.total(token_counts.prefix_deltas(PATH, text)) == len(library(text))
 
 
+#: Controls, marks in and out of order, parts of syllables, letters that compose or grow in lower case, digits of other scripts.
+WILD = [chr(c) for c in [*range(1, 0x20), 0x7F, 0x85, 0xA0, 0x2003, 0x3000]] + list("aeoAEİIΣςſKÅé'’!|<>-_.,日本語かがテキスト한국어ᄒ\u1161\u11abابيहिन्दी\u0301\u0323\u0308\u0344\u0f73١²½Ⅷ中😀\u200d\U0001f468\ufe0f\u2126") + ["'re", "'s", "'ll", "<|endoftext|>"]
+
+
+def prefix_counts(text):
+    return np.cumsum(np.frombuffer(token_counts.prefix_deltas(PATH, text), np.int8), dtype=np.int64).tolist()
+
+
+def test_every_prefix_of_any_script():
+    rng = random.Random(8)
+    for k in range(1500):
+        # Every character in turn, so that none is left out.
+        text = "".join(rng.choice(WILD) for _ in range(rng.randint(0, 8))) + WILD[k % len(WILD)] + "".join(rng.choice(WILD) for _ in range(rng.randint(0, 8)))
+        assert prefix_counts(text) == [len(library(text[:i])) for i in range(1, len(text) + 1)], ascii(text)
+        assert np.frombuffer(vocab.text_ids(PATH, text), np.uint32).tolist() == library(text), ascii(text)
+
+
+@pytest.mark.parametrize("letters", ["日本語", "кириллица", "abc", "e\u0301x", "ab1\x01"])
+def test_long_texts_without_spaces(letters):
+    text = (letters * 100_000)[:100_000]
+    counts = prefix_counts(text)
+    assert len(counts) == len(text)
+    for i in (1, 2, 17, 1000, 99_999, 100_000):
+        assert counts[i - 1] == len(library(text[:i]))
+
+
+def test_a_vocabulary_without_a_fitting_token_is_an_error():
+    counter = token_counts.PrefixCounter(PATH)
+    del counter.numbers["q"]
+    with pytest.raises(ValueError):
+        counter.deltas("aqua q")
+
+
 def test_memo_forgets_but_stays_right():
-    memo = vocab.Memo(len, 3)
+    memo = vocab.Memo(lambda key: "x" * len(key), 3 * vocab.ENTRY)
     for _ in range(3):
-        assert [memo["a" * k] for k in range(60)] == list(range(60))
-    assert len(memo) <= 3
+        assert [len(memo["a" * k]) for k in range(60)] == list(range(60))
+    assert len(memo) <= 3 and len(memo.old) <= 3
+
+
+def test_slices_hold_every_row_once():
+    texts = ["a" * n for n in (0, 3, 50, 4, 4, 4, 0, 9, 10)] + [None, "é" * 5]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0)], "text", 10))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 10 for p in parts)
 
 
 def test_token_counts(spark):
@@ -54,6 +97,9 @@ def test_token_counts(spark):
         want.append((i, len(t.encode()), len(library(t)), max((k for k in range(1, len(t) + 1) if counts[k] <= 3), default=0), len(library(t[:5]))))
     assert got == sorted(want, key=str)
     assert token_counts.prefix_table(docs(spark, []), PATH).count() == 0
+    lean = token_counts.prefix_table(docs(spark, rows), PATH, budget=3, keep_table=False)
+    assert lean.columns == ["doc_id", "n_bytes", "n_tokens", "fit_chars"]
+    assert sorted(map(tuple, lean.collect()), key=str) == [g[:4] for g in got]
 
 
 def test_first_fit_is_first_fit():
@@ -118,3 +164,13 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     rest = training_order.read_shards(spark, out, 16, 8, start_slot=11).collect()
     assert sorted(r["slot"] for r in rest) == list(range(11, len(manifest)))
     assert training_order.training_order(docs(spark, []), PATH, 2).count() == 0
+
+
+def test_words_side_by_side_are_counted_as_one_by_one():
+    rng = random.Random(4)
+    words = {"".join(rng.choice(rng.choice(["abcdeinorst", "az09", "!?.'\x01\x7f-"])) for _ in range(rng.randint(1, 44))) for _ in range(400)}
+    together, alone = token_counts.PrefixCounter(PATH), token_counts.PrefixCounter(PATH)
+    pieces = [p for w in words for p in vocab.PIECE.findall(w)]
+    together.learn(pieces)
+    assert len(together.pieces) > 200
+    assert all(together.pieces[p] == alone.pieces[p] for p in pieces)
