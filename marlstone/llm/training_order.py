@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import discard, materialise, shared_path
-from marlstone.llm.vocab import text_ids
+from marlstone.llm.common import discard, materialise, shared_path, slices
+from marlstone.llm.vocab import text_ids, tokenizer
 
 #: Tokens of a sequence, and sequences of a shard (8 MiB of 16-bit ids).
 LENGTH, PER_SHARD = 1024, 4096
@@ -70,51 +70,50 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, id_
     first_start (the document of the first token, and that token's place in it), n_docs
     (documents that the sequence holds tokens of), n_tokens, and ``ids``: little-endian
     unsigned 16-bit ids, a task's last sequence padded with ``end_id``.  A null text is
-    empty.  ``path``'s ids must be below 65,536.
+    empty.  Ids of 65,536 and more are an error before the job.  Sequences do not cross
+    tasks, so they depend on how the input is split: the same splits give the same shards.
     """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dtype = dict(kept.dtypes)["doc_id"]
     end = np.array([end_id], "<u4").tobytes()
     names = ["task", "place", "first_doc", "first_start", "n_docs", "n_tokens", "ids"]
+    most = tokenizer(path).get_vocab_size() - 1
+    if max(most, end_id) >= 1 << 16:
+        raise ValueError(f"ids up to {max(most, end_id)} do not fit 16 bits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, place, kind = TaskContext.get().partitionId(), 0, pa.int64()
-        held: list[np.ndarray] = []  # tokens of the sequence that is being filled, at most ``length``
-        filled, first = 0, (None, 0)
-        docs_in = 0
-        rows: list[tuple] = []
-
-        def close() -> None:
-            nonlocal place, held, filled, docs_in
-            ids = np.concatenate(held)
-            rows.append((task, place, *first, docs_in, len(ids), np.pad(ids, (0, length - len(ids)), constant_values=end_id).tobytes()))
-            place, held, filled, docs_in = place + 1, [], 0, 0
-
-        def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            types = [pa.int32(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-        for batch in batches:
-            kind = batch.column("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(text_ids(path, text) + end, "<u4").astype("<u2")
-                at = 0
-                while at < len(ids):
-                    if not filled:
-                        first = (doc, at)
-                    part = ids[at : at + length - filled]
-                    held.append(part)
-                    filled, docs_in, at = filled + len(part), docs_in + 1, at + len(part)
-                    if filled == length:
-                        close()
-                if len(rows) >= 2048:
-                    yield batch_of()
-                    rows.clear()
-        if filled:
-            close()
-        if rows:
-            yield batch_of()
+        """Tokens that fill no sequence yet, and the documents they are of, wait for the next slice."""
+        task, place = TaskContext.get().partitionId(), 0
+        tokens, docs_of = np.empty(0, "<u2"), None
+        # Where each waiting document starts, counted from the first waiting token (before it: negative).
+        starts = np.empty(0, np.int64)
+
+        def taken(size: int, n_rows: int) -> pa.RecordBatch:
+            """The first ``n_rows`` sequences; the last may be short of ``length`` tokens."""
+            at = np.arange(n_rows, dtype=np.int64) * length
+            ends = np.minimum(at + length, size)
+            first = np.searchsorted(starts, at, "right") - 1
+            n_docs = np.searchsorted(starts, ends, "left") - first
+            padded = np.full(n_rows * length, end_id, "<u2")
+            padded[:size] = tokens[:size]
+            offsets = np.arange(n_rows + 1, dtype=np.int32) * (2 * length)
+            ids = pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets), pa.py_buffer(padded)])
+            return pa.record_batch([pa.array(np.full(n_rows, task, np.int32)), pa.array(place + np.arange(n_rows)), docs_of.take(pa.array(first)), pa.array(at - starts[first]), pa.array(n_docs), pa.array(ends - at), ids], names)
+
+        for batch in slices(batches):
+            parts = [text_ids(path, text) + end for text in batch.column("text").to_pylist()]
+            sizes = np.array([len(p) // 4 for p in parts], np.int64)
+            starts = np.concatenate([starts, len(tokens) + np.cumsum(sizes) - sizes])
+            tokens = np.concatenate([tokens, np.frombuffer(b"".join(parts), "<u4").astype("<u2")])
+            docs_of = batch.column("doc_id") if docs_of is None else pa.concat_arrays([docs_of, batch.column("doc_id")])
+            full = len(tokens) // length
+            if full:
+                yield taken(full * length, full)
+                place += full
+                left = max(0, int(np.searchsorted(starts, full * length, "right")) - 1)
+                tokens, starts, docs_of = tokens[full * length :].copy(), starts[left:] - full * length, docs_of[left:]
+        if len(tokens):
+            yield taken(len(tokens), 1)
 
     return kept.mapInArrow(cut, f"task int, place long, first_doc {dtype}, first_start long, n_docs long, n_tokens long, ids binary")
 
@@ -148,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, key: int = 0
     Returns the manifest, a written table with a row per sequence: slot, shard, position,
     and ``sequences``' first_doc, first_start, n_docs and n_tokens.  Rows that repeat get slots of their own; no rows, no shards.
     """
-    written = materialise(sequences(docs, path, end_id, length, **columns), "sequences")
+    written = materialise(sequences(docs, path, end_id, length, **columns), "sequences", "zstd")
     rows, count = with_index(written)
     order = Feistel(max(1, count), key)
 
