@@ -150,7 +150,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     ``queries`` are rows of ``vectors`` (same ids); a row is not its own neighbour.
     Nearness is the cosine in double precision, ties go to the smaller id.  Vectors that
     are null, zero, of another length than the most, or hold null or non-finite components,
-    and rows without an id, take no part; rows that repeat an id count once.  Equal vectors
+    and rows without an id, take no part; of rows that repeat an id with other vectors, the
+    one of the least digest counts.  Equal vectors
     are one vector with its ``k`` + 1 smallest ids, so many copies are compared once.
     Without ``probes`` their number follows that of the vectors (``probes_for``).  A
     query that meets fewer than ``k`` others visits all keys.
@@ -165,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     # Equal vectors: a class with its smallest ids, found before rows of a class meet.
     digest = F.sha2(F.to_json(F.struct("vector")), 256)
-    ids = rows.select("vec_id", "vector", digest.alias("digest")).dropDuplicates(["vec_id"])
+    own = F.min(F.struct(digest.alias("digest"), F.col("vector"))).alias("own")
+    ids = rows.groupBy("vec_id").agg(own).select("vec_id", "own.vector", "own.digest")
     smallest = ids.select("digest", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = materialise(smallest.select("digest", "vec_id", "r"), "members")
     named = members.where("r = 1").select("digest", F.col("vec_id").alias("vid"))

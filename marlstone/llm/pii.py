@@ -4,11 +4,13 @@ A surrogate is made by a keyed permutation of the values that share the entity's
 so no table of what was replaced is needed: the same entity gets the same surrogate in
 every document (coreference), and two entities never get the same one (distinctness).
 
-The permutation runs over the letters and digits of the entity twice, forwards and
-backwards.  Each character moves within its own alphabet (digits; vowels or consonants of
-a script; either case) by a shift drawn from the key, the kind and all characters before
-it, which can be undone character by character.  Separators stay and do not count, so a
-number keeps its surrogate's digits however it is written.
+The permutation runs over the letters and digits of the entity forwards and backwards.
+Each character moves within its own alphabet (digits; vowels or consonants of a script;
+either case; else the letters of its stretch of code points) by a shift drawn from the
+key, the kind and all characters before it.  Then every character moves by one, and both
+passes are undone.  As a move by one leaves nothing in place, neither does the whole: no
+entity is its own surrogate.  Separators stay and do not count, so a number keeps its
+surrogate's digits however it is written.
 """
 
 from __future__ import annotations
@@ -21,26 +23,36 @@ from pyspark.sql import functions as F
 # Fixed patterns.
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_TITLE = "Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Dott|Г-н|Г-жа|г-н|г-жа"
+#: A part of a name: an initial, or a word that may hold inner capitals and apostrophes.
+_WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}])(?!\.[0-9])",
     "ssn": rf"(?<![\p{{L}}\p{{N}}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}-])",
     "card": rf"{_B}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:-[0-9]{{4}}){{3}}|[0-9]{{4}}(?: [0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_E}",
     "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_E}",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа|г-н|г-жа)\.? \p{Lu}[\p{Ll}]+(?:[ -]\p{Lu}[\p{Ll}]+)?(?!\p{L})",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?:[ -]{_WORD}){{0,3}}(?!\p{{L}})",
 }
 KINDS = list(PATTERNS)
 #: What every entity holds: texts without it are passed on as they are.
-_HINT = r"[@0-9]|(?:Mr|Ms|Mi|He|Fr|Mm|Ml|Mo|Ma|Se|Sr|[Гг])[\p{L}-]*\.? \p{Lu}"
+_HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}"
 
-# Fixed alphabets; a character outside them stays.
+# Fixed alphabets; for characters outside them see ``STRETCHES``.
 ALPHABETS = [
     "0123456789",
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
-    "áéíóúàèìòùâêîôûäëïöü", "ñçß", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "ÑÇ",
+    "áéíóúàèìòùâêîôûäëïöü", "ñç", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "ÑÇ",
+    "ãåæõø", "ýþð", "ÃÅÆÕØ", "ÝÞÐ",
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 ]
+# Fixed stretches of code points that hold letters only; a character outside these too stays.
+# Latin of Europe has its capitals and small letters apart by one, so it moves by twos.
+STRETCHES = [
+    (0x0100, 0x012F, 2), (0x0139, 0x0148, 2), (0x014A, 0x0177, 2), (0x0179, 0x017E, 2), (0x05D0, 0x05EA, 1), (0x0621, 0x063A, 1), (0x0905, 0x0939, 1), (0x0E01, 0x0E2E, 1),
+    (0x10D0, 0x10FA, 1), (0x3041, 0x3096, 1), (0x30A1, 0x30FA, 1), (0x4E00, 0x9FFF, 1), (0xAC00, 0xD7A3, 1),
+]
 # Fixed pools of given names by gender and script.
 NAMES = {
     "male_latin": ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Jean", "Pierre", "Carlos", "Luis"],
@@ -64,64 +76,87 @@ def _number(text: Column, bound: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long"), F.lit(bound).cast("long"))
 
 
-def _permute(chars: Column, tweak: Column) -> Column:
-    """One pass over an array of characters: each is shifted in its alphabet by all before it."""
-    start = F.struct(F.lit("").alias("seen"), F.array().cast("array<string>").alias("out"))
-    sizes = F.array(*[F.lit(len(a)) for a in ALPHABETS])
+def _character(code: Column) -> Column:
+    """The character of a code point below 0x10000."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+#: Literal tables, each made by one expression: sizes of the alphabets, and the stretches.
+_SIZES = f"array({', '.join(f'{len(a)}L' for a in ALPHABETS)})"
+_STRETCH_TABLE = f"array({', '.join(f"named_struct('low', {lo}, 'high', {hi}, 'step', {st}, 'size', {(hi - lo + 1) // st}L)" for lo, hi, st in STRETCHES)})"
+
+
+def _moved(c: Column, at: Column, draw: Column) -> Column:
+    """A character moved in its alphabet or stretch; ``at`` is its place in the grid, -1 if it is in none."""
+    base = at - F.pmod(at, F.lit(_STRETCH))
+    to = base + F.pmod(at - base + draw, F.get(F.expr(_SIZES), (base / _STRETCH).cast("int"))) + 1
+
+    def stretched(s: Column) -> Column:
+        off = F.ascii(c) - s["low"]
+        odd = F.pmod(off, s["step"])
+        return _character(s["low"] + F.pmod((off - odd) / s["step"] + draw, s["size"]).cast("long") * s["step"] + odd)
 
-    def moved(at: Column, seen: Column) -> Column:
-        draw = F.conv(F.substring(F.sha2(F.concat(tweak, F.lit("|"), seen), 256), 1, 12), 16, 10).cast("long")
-        alphabet = F.floor(at / _STRETCH).cast("int")
-        to = alphabet * _STRETCH + F.pmod(F.pmod(at, F.lit(_STRETCH)) + draw, F.get(sizes, alphabet).cast("long")) + 1
-        return F.substring(F.lit(_GRID), to.cast("int"), F.lit(1))
+    other = F.get(F.transform(F.filter(F.expr(_STRETCH_TABLE), lambda s: F.ascii(c).between(s["low"], s["high"])), stretched), 0)
+    return F.when(c == " ", c).when(at >= 0, F.substring(F.lit(_GRID), to.cast("int"), F.lit(1))).when(c < "\u0100", c).otherwise(F.coalesce(other, c))
+
+
+def _permute(chars: Column, tweak: Column, undo: bool = False) -> Column:
+    """One pass over an array of characters: each is moved by what the characters before it give, or moved back."""
+    start = F.struct(F.sha2(tweak, 256).alias("state"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
-        def at_place(at: Column) -> Column:
-            known = (at >= 0) & (c != " ")
-            seen = F.when(known, F.concat(acc["seen"], F.lower(c))).otherwise(acc["seen"])
-            return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(F.when(known, moved(at, acc["seen"])).otherwise(c))).alias("out"))
+        draw = F.conv(F.substring(acc["state"], 1, 12), 16, 10).cast("long")
+
+        def after(new: Column) -> Column:
+            # What comes next hangs on the character before it was moved; separators do not count.
+            counts = c.rlike(r"[\p{L}\p{N}]")
+            state = F.when(counts, F.sha2(F.concat(acc["state"], F.lower(new if undo else c)), 256)).otherwise(acc["state"])
+            return F.struct(state.alias("state"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-        return _let(F.instr(F.lit(_GRID), c) - 1, at_place)
+        return _let(F.instr(F.lit(_GRID), c) - 1, lambda at: _let(_moved(c, at, -draw if undo else draw), after))
 
     return F.aggregate(chars, start, step, lambda acc: acc["out"])
 
 
 def _shuffled(value: Column, tweak: Column) -> Column:
-    """The keyed permutation of a value among the values of its format."""
+    """The keyed permutation of a value among the values of its format; nothing stays in place."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    once = F.reverse(_permute(chars, F.concat(tweak, F.lit("1"))))
-    return F.array_join(F.reverse(_permute(once, F.concat(tweak, F.lit("2")))), "")
+    one, two = F.concat(tweak, F.lit("1")), F.concat(tweak, F.lit("2"))
+    there = _permute(F.reverse(_permute(chars, one)), two)
+    by_one = F.transform(there, lambda c: _let(F.instr(F.lit(_GRID), c) - 1, lambda at: _moved(c, at, F.lit(1).cast("long"))))
+    back = _permute(F.reverse(_permute(by_one, two, undo=True)), one, undo=True)
+    return F.array_join(back, "")
 
 
 def _tweak(key: str, kind: str, *more: Column) -> Column:
     return F.concat_ws("|", F.lit(key), F.lit(kind), *more)
 
 
-def _email(v: Column, key: str) -> Column:
-    """The last label stays: it is no one's."""
-    rest = F.regexp_replace(v, r"\.[^.]+$", "")
-    return F.concat(_shuffled(rest, _tweak(key, "email")), F.substring(v, F.char_length(rest) + 1, F.char_length(v)))
-
-
-def _permute_octets(octets: Column, tweak: Column) -> Column:
-    """One pass over an address's numbers: each is shifted among those of its length by all before it."""
+def _permute_octets(octets: Column, tweak: Column, undo: bool = False) -> Column:
+    """One pass over an address's numbers: each moves among those of its length by all before it, or back."""
 
     def step(acc: Column, x: Column) -> Column:
-        low = F.when(x < 10, 0).when(x < 100, 10).otherwise(100)
-        size = F.when(x < 10, 10).when(x < 100, 90).otherwise(156)
-        new = low + F.pmod(x - low + _number(F.concat_ws("|", tweak, acc["seen"]), 1 << 31), size.cast("long"))
-        return F.struct(F.concat_ws(".", acc["seen"], x.cast("string")).alias("seen"), F.concat(acc["out"], F.array(new)).alias("out"))
+        draw = _number(F.concat_ws("|", tweak, acc["seen"]), 1 << 31)
+        return _let(_octet(x, -draw if undo else draw), lambda new: F.struct(F.concat_ws(".", acc["seen"], (new if undo else x).cast("string")).alias("seen"), F.concat(acc["out"], F.array(new)).alias("out")))
 
     start = F.struct(F.lit("").alias("seen"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(octets, start, step, lambda acc: acc["out"])
 
 
+def _octet(x: Column, by: Column) -> Column:
+    low = F.when(x < 10, 0).when(x < 100, 10).otherwise(100)
+    size = F.when(x < 10, 10).when(x < 100, 90).otherwise(156)
+    return low + F.pmod(x - low + by, size.cast("long"))
+
+
 def _ip(v: Column, key: str) -> Column:
-    """The first number stays; the others change in two passes and keep their lengths."""
+    """The first number stays; the others change, as letters do, and keep their lengths."""
     o = F.transform(F.split(v, r"\."), lambda x: x.cast("long"))
     tweak = lambda turn: _tweak(key, "ip", F.lit(turn), F.get(o, 0).cast("string"))
-    once = F.reverse(_permute_octets(F.slice(o, 2, 3), tweak("1")))
-    return F.concat_ws(".", F.get(o, 0), F.array_join(F.transform(F.reverse(_permute_octets(once, tweak("2"))), lambda x: x.cast("string")), "."))
+    there = _permute_octets(F.reverse(_permute_octets(F.slice(o, 2, 3), tweak("1"))), tweak("2"))
+    by_one = F.transform(there, lambda x: _octet(x, F.lit(1)))
+    back = _permute_octets(F.reverse(_permute_octets(by_one, tweak("2"), undo=True)), tweak("1"), undo=True)
+    return F.concat_ws(".", F.get(o, 0), F.array_join(F.transform(back, lambda x: x.cast("string")), "."))
 
 
 def _check_digit(digits: Column) -> Column:
@@ -139,34 +174,48 @@ def _card(v: Column, key: str) -> Column:
     return _let(new, lambda x: F.concat(x, F.pmod(_check_digit(digits(x)) + off, F.lit(10))))
 
 
-def _phone(v: Column, key: str) -> Column:
-    """A country code after a plus stays."""
-    code = F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]", 0)
-    return F.concat(code, _shuffled(F.substring(v, F.char_length(code) + 1, F.char_length(v)), _tweak(key, "phone", code)))
-
-
 def _given(name: Column, female: Column, key: str) -> Column:
-    """A known given name moves within its pool; another one within its format, but into no pool."""
+    """A known given name moves within its pool; another one within its format, on and on until it is outside the pool.
+
+    So either set is mapped onto itself, and no two names of one gender meet.
+    """
     step = int(hashlib.sha256(f"{key}|given".encode()).hexdigest(), 16)
     script = F.when(name.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     pool = F.concat_ws("_", F.when(female, F.lit("female")).otherwise(F.lit("male")), script)
-    names = F.array()
+    tables = []
     for p, known in NAMES.items():
         turned = [known[(i + 1 + step % (len(known) - 1)) % len(known)] for i in range(len(known))]
-        names = F.when(pool == p, F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in zip(known, turned, strict=True)])).otherwise(names.cast("array<struct<old:string,new:string>>"))
-    everyone = F.array(*[F.lit(n) for known in NAMES.values() for n in known])
-    again = lambda x: F.when(F.array_contains(everyone, x), _shuffled(x, _tweak(key, "given"))).otherwise(x)
-    other = _let(_shuffled(name, _tweak(key, "given")), again)
-    return F.coalesce(F.get(F.filter(names, lambda n: n["old"] == name), 0)["new"], other)
+        tables.append(f"'{p}', array({', '.join(f"named_struct('old', '{a}', 'new', '{b}')" for a, b in zip(known, turned, strict=True))})")
+    names = F.try_element_at(F.expr(f"map({', '.join(tables)})"), pool)
+
+    def within(table: Column) -> Column:
+        moved = lambda x: _shuffled(x, _tweak(key, "given"))
+        taken = lambda x: F.exists(table, lambda n: n["old"] == x)
+        # A walk meets each name of the pool at most once.
+        walks = F.sequence(F.lit(0), F.size(table))
+        other = F.aggregate(walks, name, lambda x, i: F.when((i == 0) | taken(x), moved(x)).otherwise(x))
+        return F.coalesce(F.get(F.filter(table, lambda n: n["old"] == name), 0)["new"], other)
+
+    return _let(names, within)
 
 
 def _name(v: Column, key: str) -> Column:
-    """The title stays; given names keep the title's gender and their script."""
+    """The title stays; the first of several words is a given name, of the title's gender, and the last a family name."""
     title = F.regexp_extract(v, r"^\S+ ", 0)
     rest = F.substring(v, F.char_length(title) + 1, F.char_length(v))
-    first, more = F.regexp_extract(rest, r"^\p{L}+", 0), F.regexp_extract(rest, r"^\p{L}+([ -]\p{L}+)?", 1)
-    family = _shuffled(F.when(more == "", first).otherwise(more), _tweak(key, "family"))
-    return F.concat(title, F.when(more == "", F.lit("")).otherwise(_given(first, v.rlike(_FEMALE_TITLE), key)), family)
+    words = F.split(rest, r"(?<=[ -])")
+    bare = lambda w: F.regexp_replace(w, "[ -]$", "")
+    tail = lambda w: F.regexp_extract(w, "[ -]$", 0)
+
+    def each(all_: Column) -> Column:
+        def made(w: Column, i: Column) -> Column:
+            last = i == F.size(all_) - 1
+            part = F.concat(F.lit(f"{key}|"), F.when(last, F.lit("family")).otherwise(F.lit("middle")))
+            return F.concat(F.when((i == 0) & ~last, _given(bare(w), v.rlike(_FEMALE_TITLE), key)).otherwise(_shuffled(bare(w), part)), tail(w))
+
+        return F.array_join(F.transform(all_, made), "")
+
+    return F.concat(title, _let(words, each))
 
 
 def _kind(v: Column) -> Column:
@@ -177,10 +226,19 @@ def _kind(v: Column) -> Column:
     return out
 
 
+def _plain(v: Column, kind: Column, key: str) -> Column:
+    """E-mail addresses but for the last label, which is no one's; phone numbers but for a country code after a plus; others whole."""
+    phone, email = kind == "phone", kind == "email"
+    before = F.when(phone, F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]", 0)).otherwise(F.lit(""))
+    after = F.when(email, F.regexp_extract(v, r"\.[^.]+$", 0)).otherwise(F.lit(""))
+    middle = F.substring(v, F.char_length(before) + 1, F.char_length(v) - F.char_length(before) - F.char_length(after))
+    return F.concat(before, _shuffled(middle, F.concat_ws("|", F.lit(key), kind, before)), after)
+
+
 def surrogate(value: Column, kind: Column, key: str) -> Column:
     """The surrogate of an entity of a known kind."""
-    out = _shuffled(value, _tweak(key, "ssn"))
-    for name, make in (("email", _email), ("ip", _ip), ("card", _card), ("phone", _phone), ("name", _name)):
+    out = _plain(value, kind, key)
+    for name, make in (("ip", _ip), ("card", _card), ("name", _name)):
         out = F.when(kind == name, make(value, key)).otherwise(out)
     return out
 
@@ -216,9 +274,9 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
 def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Surrogates that more than one entity would get, over all documents: none is expected.
 
-    Entities that differ only in separators or case are one.
+    Entities that differ only in separators are one.
     """
     found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select("e.*").distinct()
-    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}@]", ""))
+    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}@]", "")
     made = found.withColumn("surrogate", bare(surrogate(F.col("value"), F.col("kind"), key))).withColumn("value", bare(F.col("value")))
     return made.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

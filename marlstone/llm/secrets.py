@@ -25,16 +25,21 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Characters of a window, and the entropy in bits that a window of the class must reach.
 WINDOW = 20
 HEX_BITS, BASE_BITS = 3.0, 3.7
-#: Candidates that are no secrets: identifiers, words, paths, repeated and documented examples.
+#: Candidates that are no secrets as a whole: words, numbers, paths, rules.
 ALLOWED = [
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
     r"^[A-Z]?[a-z]+([-_/][A-Z]?[a-z]+)*$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxxx|00000|12345",
     r"^[-_=+/]+$",
 ]
+#: Parts that are cut out of a candidate, each of a fixed length: what is left of it is judged by itself.
+CUT = {
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])": 36,
+    r"(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z])": 10,
+    "(?i)example": 7, "(?i)sample": 6, "(?i)placeholder": 11, "(?i)changeme": 8, "(?i)dummy": 5, "(?i)xxxxx": 5, "00000": 5, "12345": 5,
+}
+#: Matches whose places are summed up in one go; so many texts' matches cost as many steps, not their square.
+BLOCK = 256
 
 _SCALE = 1_000_000
 
@@ -60,17 +65,38 @@ def _spans(text: Column, pattern: str, group: int | None = None, least: int = 0)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group is not None else found
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
     def step(acc: Column, m: Column) -> Column:
         s = acc["at"] + m["g"]
         e = s + F.char_length(m["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m["v"].alias("v")))).alias("out"))
 
-    matches = F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    spans = F.aggregate(matches, start, step, lambda acc: acc["out"])
+    def placed(matches: Column) -> Column:
+        """Blocks count from their own start and are then moved to where the one before ends."""
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(matches, i, F.lit(BLOCK)), start, step))
+
+        def join(acc: Column, b: Column) -> Column:
+            there = F.transform(b["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["v"].alias("v")))
+            return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(there)).alias("out"))
+
+        nested = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,v:string>>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, nested, join, lambda acc: acc["out"]))
+
+    spans = _let(F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")), placed)
     if least:
         spans = F.filter(spans, lambda x: F.char_length(x["v"]) >= least)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+
+def _without(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
+    """The text with as many spaces in the place of each match; matches whose group is shorter than ``least`` stay."""
+    found = F.regexp_extract_all(text, F.lit(pattern if group is not None else f"({pattern})"), F.lit(0 if group is not None else 1))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group is not None else found
+    blank = lambda m: F.when(F.char_length(m["v"]) >= least, F.repeat(F.lit(" "), F.char_length(m["m"]))).otherwise(m["m"])
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.transform(F.arrays_zip(found.alias("m"), values.alias("v")), blank).alias("b"))
+    return F.when(text.rlike(pattern), F.array_join(F.flatten(F.transform(parts, lambda x: F.array(x["g"], F.coalesce(x["b"], F.lit(""))))), "")).otherwise(text)
 
 
 def _window_bits(value: Column, alphabet: str) -> Column:
@@ -115,21 +141,25 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``s`` and ``e`` are code points, the end exclusive, ``k`` an index into ``KINDS`` and
     ``v`` what was matched (an assignment's value).  A null text is empty.  Known kinds
-    may overlap each other; an entropy span is added only where no known kind matched.
+    may overlap each other.  Entropy spans are sought in what is left of the text when
+    known kinds, and the parts of ``CUT``, are taken out: a run that holds such a part is
+    judged by the rest of it.  Columns whose names start with ``_secret`` are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumns({"_assign": _spans(text, ASSIGN, 2, 6), "_access": _spans(text, ACCESS), "_hex": _spans(text, HEX), "_runs": _spans(text, CANDIDATE)})
-    known = F.concat("_assign", "_access", "_hex")
+    rest = _without(_without(_without(text, ASSIGN, 2, 6), ACCESS), HEX)
+    for pattern, length in CUT.items():
+        rest = F.regexp_replace(rest, pattern, " " * length)
+    docs = docs.withColumns({"_secret_assign": _spans(text, ASSIGN, 2, 6), "_secret_access": _spans(text, ACCESS), "_secret_hex": _spans(text, HEX), "_secret_rest": F.when(text.rlike(CANDIDATE), rest).otherwise(F.lit(""))})
+    docs = docs.withColumn("_secret_runs", _spans(F.col("_secret_rest"), CANDIDATE))
     allowed = lambda v: _any([v.rlike(p) for p in ALLOWED])
-    plain = F.filter("_runs", lambda r: ~allowed(r["v"]) & r["v"].rlike("[0-9]") & r["v"].rlike("[A-Za-z]"))
-    fresh = F.filter(plain, lambda r: ~F.exists(known, lambda x: (x["s"] < r["e"]) & (x["e"] > r["s"])))
+    fresh = F.filter("_secret_runs", lambda r: ~allowed(r["v"]) & r["v"].rlike("[0-9]") & r["v"].rlike("[A-Za-z]"))
     is_hex = lambda v: F.lower(v).rlike("^[0-9a-f]+$")
     high = F.filter(fresh, lambda r: F.when(is_hex(r["v"]), _window_bits(F.lower(r["v"]), HEX_ALPHABET) >= HEX_BITS).otherwise(_window_bits(r["v"], BASE_ALPHABET) >= BASE_BITS))
 
     def listed(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda r: F.struct(r["s"].alias("s"), F.lit(kind).alias("k"), r["e"].alias("e"), r["v"].alias("v")))
 
-    return docs.withColumn("found", F.array_sort(F.concat(listed(F.col("_assign"), 0), listed(F.col("_access"), 1), listed(F.col("_hex"), 2), listed(high, 3)))).drop("_assign", "_access", "_hex", "_runs")
+    return docs.withColumn("found", F.array_sort(F.concat(listed(F.col("_secret_assign"), 0), listed(F.col("_secret_access"), 1), listed(F.col("_secret_hex"), 2), listed(high, 3)))).drop("_secret_assign", "_secret_access", "_secret_hex", "_secret_rest", "_secret_runs")
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -20,6 +20,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 
+#: The capture date of records whose table has none.
+DATE = "1970-01-01T00:00:00Z"
 #: Smallest payload that later captures may refer to, in bytes.
 MIN_PAYLOAD = 0
 
@@ -37,20 +39,25 @@ def _header(fields: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit(VERSION + CRLF), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(CRLF))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = MIN_PAYLOAD) -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = MIN_PAYLOAD, date: str = DATE) -> None:
     """Writes ``pages`` as an archive below ``path``.
 
     Of captures with equal payloads of at least ``min_payload`` bytes, the one with the
     largest id is the response that the others revisit; smaller payloads are all
     responses.  A null payload is empty.  A row that repeats the response's id and payload
-    is a response too.  A null url leaves its field out, and captures without an id are
+    is a response too.  A null url leaves its field out, a line end in
+    one is percent-encoded, and captures without an id are
     all revisits of the one with the largest id, or responses if none has an id.
     """
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     captures = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     captures = captures.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     # Copies meet in the map-side part of this aggregation, however many they are.
-    stored = captures.groupBy("digest").agg(F.first("payload").alias("payload"), F.first("payload_bytes").alias("payload_bytes"), F.max("page_id").alias("owner"))
+    # A payload that is dropped must also agree with the one that is kept in its length and a second hash.
+    alike = F.struct("payload_bytes", F.xxhash64("payload"))
+    stored = captures.groupBy("digest").agg(F.first("payload").alias("payload"), F.first("payload_bytes").alias("payload_bytes"), F.max("page_id").alias("owner"), F.min(alike).alias("lo"), F.max(alike).alias("hi"))
+    sound = F.when(F.col("lo") == F.col("hi"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("digest"))))
+    stored = stored.select(sound.alias("digest"), "payload", "payload_bytes", "owner")
     stored.write.parquet(f"{path}/payloads")
     owners = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "owner")
 
@@ -61,7 +68,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     header = _header([
         ("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
         ("WARC-Record-ID", urn(F.col("page_id"))),
-        ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("WARC-Refers-To", F.when(F.col("revisit"), urn(F.col("owner")))),
         ("WARC-Profile", F.when(F.col("revisit"), F.lit(PROFILE))),

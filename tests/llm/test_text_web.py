@@ -22,14 +22,19 @@ def base_spans(text):
     return sorted(out)
 
 
+def blank(m):
+    return " " * len(m[0])
+
+
 def entropy_hits(text):
     out = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+    rest = ASSIGN.sub(lambda m: blank(m) if len(m[2]) >= 6 else m[0], text)
+    for pattern in (r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", *secrets.CUT):
+        rest = re.sub(pattern, blank, rest)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", rest):
         v = m[0]
         if any(re.search(p, v) for p in secrets.ALLOWED) or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v):
             continue
-        if any(s < m.end() and e > m.start() for s, _, e in base_spans(text)):
-            continue
         is_hex = re.fullmatch("[0-9a-f]+", v.lower())
         v, alphabet, bits = (v.lower(), secrets.HEX_ALPHABET, secrets.HEX_BITS) if is_hex else (v, secrets.BASE_ALPHABET, secrets.BASE_BITS)
         best = 0.0
@@ -57,6 +62,38 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_a_secret_beside_known_spans_and_examples_is_found(spark):
+    key = "q7Rz0Kp3XvB9mT5wYc2Ld8Fh4Ns6Gj1UaEoiXwQy"
+    before = ["AKIA" + "A1B2" * 4 + "/", "0123456789abcdef01234567_", "sample-app/", "user12345_", "x/00000/", "2024-01-02-", "123e4567-e89b-12d3-a456-426614174000/"]
+    texts = [b + key for b in before] + ["example" * 5, "123e4567-e89b-12d3-a456-426614174000"]
+    got = {r["doc_id"]: r for r in secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, b in enumerate(before):
+        spans = [x.split(":") for x in got[i]["spans"].split(",")]
+        start, end = next((int(s), int(e)) for k, s, e in spans if k == "entropy")
+        assert start <= len(b) and end == len(texts[i]), texts[i]
+    assert got[len(before)]["n_entropy"] == got[len(before) + 1]["n_entropy"] == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:024x}" for i in range(3000))
+    row = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_hex"] == 3000 and row["spans"].split(",")[-1] == f"hex:{25 * 2999}:{25 * 2999 + 24}"
+
+
+def test_mix_takes_columns_of_any_name(spark):
+    rows = [(i, "ab"[i % 3 == 0], "one two", 1, 2, 3, 4, 5, 6) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, weight int, src int, passes int, end int, tokens int, mix_order int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", "text", "weight", "src", "passes", "end", "tokens", "mix_tokens", "mix_epoch", "mix_order", "mix_weight"]
+    assert out.select("doc_id").distinct().count() == 30 and {tuple(r) for r in out.select("weight", "src", "passes", "end", "tokens").collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_of_rows_that_repeat_an_id_the_same_vector_counts(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.6, 0.8])]
+    got = [sorted(map(tuple, neighbours.nearest(spark.createDataFrame(r, "vec_id long, embedding array<float>").repartition(3), spark.createDataFrame([(0,)], "vec_id long"), k=2).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 def test_surrogates_keep_format_and_coreference(spark):
     text = "mail Bob.Smith62@mail5.example.com, bob.smith62@mail5.example.com, +1 (333) 555-8558, 38.168.39.50, 4111 1111 1111 1111, 123-45-6789. Mrs. Anna Smith, Herr Müller."
     rows = [(0, text), (1, text + " 4111-1111-1111-1111 and 333-555-8558x"), (2, None), (3, ""), (4, "Nothing here: 12, 2013-2014, v1.2.3, a@b"), (5, "w " * 50_000 + "x@y.org")]
@@ -79,6 +116,38 @@ def test_surrogates_keep_format_and_coreference(spark):
     assert pii.with_surrogates(docs.limit(0), "key").count() == 0
 
 
+def test_every_name_of_a_shape_gets_a_name_of_its_own(spark):
+    letters = [F.explode(F.array(*map(F.lit, x))).alias(n) for n, x in (("a", "MJPQZB"), ("b", "aeiou"), ("c", "bcdlrst"), ("d", "aeiou"), ("e", "aeinrs"))]
+    names = spark.range(1)
+    for c in letters:
+        names = names.select("*", c)
+    names = names.select(F.concat("a", "b", "c", "d", "e").alias("n")).union(spark.createDataFrame([(n,) for k in ("male_latin", "female_latin") for n in pii.NAMES[k]], "n string")).distinct()
+    for title in ("Mr.", "Mrs."):
+        made = names.select("n", pii.surrogate(F.concat(F.lit(f"{title} "), "n", F.lit(" Lee")), F.lit("name"), "marlstone").alias("s"))
+        got = made.agg(F.count(F.lit(1)), F.count_distinct("s"), F.count_if(F.col("s").contains(F.concat(F.lit(" "), "n", F.lit(" "))))).first()
+        assert got[0] == got[1] and got[2] == 0
+
+
+@pytest.mark.parametrize("kind, values", [("ssn", [f"123-{a:02d}-4567" for a in range(100)]), ("ip", [f"9.{a}.{b}.1" for a in range(10) for b in range(12)]), ("email", [f"{a}{b}@例子.com" for a in "甲乙丙丁ab1" for b in "łåñक한あ"])])
+def test_no_value_is_its_own_surrogate_or_another_s(spark, kind, values):
+    made = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.surrogate(F.col("v"), F.lit(kind), "k").alias("s")).collect()
+    assert all(r["s"] != r["v"] for r in made) and len({r["s"] for r in made}) == len(values)
+
+
+def test_longer_names_and_very_long_entities(spark):
+    said = ["Mr. John Paul Smith", "Dr. John McDonald", "Mr. McDonald", "Prof. O'Neil", "Mr. J. Smith", "Mr. Smith"]
+    docs = spark.createDataFrame([(i, f"so {t}, he said. The end") for i, t in enumerate(said)] + [(9, "x" * 3000 + "@example.com")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.with_surrogates(docs, "key").collect()}
+    family = {}
+    for i, t in enumerate(said):
+        assert out[i]["pii"] == {"name": 1} and out[i]["text"].startswith(f"so {t.split(' ')[0]} ") and out[i]["text"].endswith(", he said. The end")
+        new = out[i]["text"][3:].split(",")[0]
+        assert not set(new.split(" ")[1:]) & set(t.split(" ")[1:])
+        family.setdefault(t.split(" ")[-1], set()).add(new.split(" ")[-1])
+    assert all(len(f) == 1 for f in family.values()) and len(set().union(*family.values())) == 3
+    assert out[9]["pii"] == {"email": 1} and len(out[9]["text"]) == 3012 and out[9]["text"].endswith(".com")
+
+
 def test_surrogates_are_distinct(spark):
     text = F.concat_ws(" ", F.format_string("10.%d.%d.7", F.col("id") % 256, F.floor(F.col("id") / 256)), F.format_string("+1 (212) 555-%04d", F.col("id")), F.format_string("u%d@m.example.com", F.col("id")), F.format_string("Mr. %s Doe", F.element_at(F.array(*map(F.lit, pii.NAMES["male_latin"])), (F.col("id") % 13 + 1).cast("int"))))
     docs = spark.range(600).select(text.alias("text"))
