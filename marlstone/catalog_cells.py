@@ -124,7 +124,7 @@ def cls5_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.angular_family(F.col("p_size")).alias("family"), scalars.size_bucket(F.col("p_size")).cast("int").alias("bucket"))
 
 
-@_query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'bpg' WHEN regexp_matches(lower(f), '[^/]\.hei[cf]$') THEN 'heic' ELSE 'bpg' END AS container
+@_query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'bpg' WHEN regexp_matches(lower(f), '[^/]\.hei[cf]$') THEN 'heic' ELSE 'bpg' END AS container
 FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.HEIC' WHEN 1 THEN '.heif' WHEN 2 THEN '.bpg' ELSE '' END AS f FROM pages)""")
 def cls10_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
