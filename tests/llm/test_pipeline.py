@@ -30,3 +30,47 @@ def test_mixing_counts_the_tokens_that_packing_packs(spark, tmp_path):
     assert uses(got, "unspaced") == 20 and uses(got, "words") > 20
     staged = corpus_pipeline.mixture(spark, docs, "").collect()
     assert uses(staged, "unspaced") == 20 and uses(staged, "words") == uses(got, "words")
+
+
+def rows_of_documents():
+    """Clean documents, copies, near copies, junk, personal data, nulls, a repeated row and a very long text."""
+    words = lambda seed, n=80: " ".join(f"w{seed}x{i}" for i in range(n))
+    rows = [(i, words(i), "en", f"site{i % 3}") for i in range(12)]
+    rows += [(20, words(1), "en", "site1"), (21, words(2).replace("w2x79", "other"), "en", "site2"), (22, "too short", "en", "site0"), (23, None, "en", "site0"), (24, "", None, None)]
+    rows += [(25, words(25) + " mail ann.lee@example.com or Mr. John Smith", "en", None), (26, words(26, 9000), "en", "site1"), (3, words(3), "en", "site0")]
+    return [(*r, len(r[1] or "")) for r in rows]
+
+
+def test_run_holds_what_each_stage_keeps(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows_of_documents(), schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in list(stages.values())[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+    # By hand: junk and nulls go, of copies and near copies the smallest id stays.
+    kept = [*range(12), 25, 26]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(kept)
+    texts = {r[0]: r[1] for r in rows_of_documents() if r[0] in kept}
+    held, by_seq = {}, {}
+    for r in out:
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["length"]
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i in kept:
+        if i != 25:  # its surrogates have other tokens
+            tokens = len(text_ids(vocabulary(), texts[i])) // 4 + 1
+            assert held[i] in (tokens, 2 * tokens), i
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    new = {r["doc_id"]: r["text"] for r in corpus_pipeline.pii(spark, docs, "").collect()}
+    assert "ann.lee" not in new[25] and "Smith" not in new[25] and all(new[i] == texts[i] for i in kept if i != 25)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
