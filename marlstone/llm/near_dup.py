@@ -151,20 +151,22 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 def components(links: DataFrame) -> DataFrame:
     """(cid, comp) for every class with a link; comp names the component.
 
-    Each round points every node to the neighbour (or itself) that comes first in an
-    order drawn anew for the round, and contracts links to what their ends point to.
+    Each round points every node to the neighbour (or itself) that comes first, and
+    contracts links to what their ends point to.  Nodes with more links come first, by
+    powers of two, so that a star is one node after a round; among others the order is
+    drawn anew for the round.
     """
     edges = links.select("a", "b")
     labels = None
     made = []
     turn = 0
-    # A round leaves at most three quarters of the nodes that still have links, on average.
     while not edges.isEmpty():
         turn += 1
-        rank = F.struct(F.xxhash64("y", F.lit(turn)).alias("r"), F.col("y"))
-        ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select(F.col("b"), F.col("a")))
-        ends = ends.union(ends.select("x", F.col("x").alias("y")))
-        first = materialise(ends.groupBy("x").agg(F.min(rank)["y"].alias("p")), "point")
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
+        few = -F.floor(F.log2(F.count(F.lit(1))))
+        ranks = ends.groupBy("x").agg(few.alias("few")).select(F.col("x").alias("y"), F.struct("few", F.xxhash64("x", F.lit(turn)).alias("r"), F.col("x").alias("y")).alias("rank"))
+        seen = ends.join(ranks, "y").select("x", "rank").union(ranks.select("y", "rank"))
+        first = materialise(seen.groupBy("x").agg(F.min("rank")["y"].alias("p")), "point")
         a, b = first.select(F.col("x").alias("a"), F.col("p").alias("pa")), first.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         edges = materialise(edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         step = first.select(F.col("x").alias("comp"), F.col("p"))

@@ -114,3 +114,15 @@ def test_bad_hosts_are_rejected_as_a_whole(spark):
     assert not kept[100] and not kept[0] and kept[200] and kept[400] and not kept[401] and not kept[402]
     empty = quality.quality_verdicts(docs.limit(0))
     assert empty.count() == 0 and {"kept", "host_rate", "text"} <= set(empty.columns)
+
+
+def test_components_of_stars_paths_and_rings(spark):
+    star = [(7, i) for i in range(100, 400)]
+    path = [(i, i + 1) for i in range(1_000, 1_200)]
+    ring = [(i, 2_000 + (i + 1) % 50) for i in range(2_000, 2_050)]
+    links = spark.createDataFrame([*star, *path, *ring, *star], "a long, b long")
+    groups = {}
+    for cid, comp in near_dup.components(links).collect():
+        groups.setdefault(comp, set()).add(cid)
+    want = [{7, *range(100, 400)}, set(range(1_000, 1_201)), set(range(2_000, 2_050))]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
