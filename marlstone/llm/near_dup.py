@@ -194,7 +194,7 @@ def _star_pairs(keys: DataFrame, turn: int) -> DataFrame:
     rank = F.struct(F.xxhash64("cid", F.lit(turn)).alias("r"), "cid", "comp")
     first = keys.groupBy("key").agg(F.min(rank).alias("f")).select("key", F.col("f.cid").alias("lead"), F.col("f.comp").alias("lead_comp"))
     met = keys.join(first.hint("merge"), "key").where("comp <> lead_comp")
-    pairs = met.groupBy("cid", "lead").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+    pairs = met.groupBy("cid", "lead").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least < most")
     return materialise(pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")), "star")
 
 
