@@ -40,10 +40,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, outlives executors."""
+def materialise(df: DataFrame, tag: str, codec: str = "snappy", partition: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in a folder for each value of ``partition``, and reads it back: cuts lineage, outlives executors."""
     path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=partition)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.marlstone_path = path
     return out

@@ -89,6 +89,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=80)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op6_source_mix": op6_source_mix,
@@ -101,6 +119,9 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op4_training_order": op4_training_order,
         "op5_packing": op5_packing,
+        "op11_toxicity": op11_toxicity,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -108,4 +129,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality_rules": sql.QUALITY,
         "op10_near_duplicates": sql.NEAR_DUP,
+        "op12_source_divergence": sql.DIVERGENCE,
     }
