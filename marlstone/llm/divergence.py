@@ -46,7 +46,7 @@ SHARD_TERMS = 250_000
 #: Counts that a task holds before it passes them on.
 HELD = 500_000
 #: Sources that meet in one task, and postings that do, about.
-SOURCE_BLOCK, TASK_POSTINGS = 512, 200_000
+SOURCE_BLOCK, TASK_POSTINGS = 512, 50_000
 
 #: Bytes that part terms become a space, A-Z become lower case; bytes of longer code points stay.
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))

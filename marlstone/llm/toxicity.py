@@ -26,19 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import discard, materialise, slices
+from marlstone.llm.common import materialise, slices
 
 #: Models, and the confirmed and unlabelled texts that each is fitted on at most, in order of
-#: a hash that differs for each model; and their distinct words, added up, at most.
-MODELS, CONFIRMED, UNLABELLED, SAMPLE_WORDS = 3, 2_500, 5_000, 4_000_000
+#: a hash that differs for each model; and their distinct features, added up, at most.
+MODELS, CONFIRMED, UNLABELLED, SAMPLE_FEATURES = 3, 2_500, 5_000, 15_000_000
 #: From this score on a text is taken to be toxic.
 TOXIC = 0.7
 #: Letters of the beginnings that are features.
 STEMS = range(3, 9)
 #: Letters from which a run (of a script without spaces) is taken apart, and those of its parts.
 LONG, PART = 32, 3
-#: Confirmed texts that a feature must stand in, and features with weights, at most.
-LEAST_TEXTS, FEATURES = 3, 100_000
+#: Confirmed texts that a feature must stand in, by how many standard deviations its share of
+#: them must lie apart from its share of the unlabelled ones, and features with weights, at most.
+LEAST_TEXTS, EXCESS, FEATURES = 3, 2.0, 100_000
 #: Share of toxic texts where no label tells it, and the bounds it is held in.
 PRIOR, LEAST_PRIOR, MOST_PRIOR = 0.1, 0.005, 0.5
 #: Passes over the sample, step, and what holds weights at 0.
@@ -64,22 +65,42 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(f"{word}>".encode()), *(zlib.crc32(word[:k].encode()) for k in STEMS if k <= len(word))]
 
 
-def _matrix(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs of all texts, each pair once."""
-    ids: dict[str, int] = {}
-    at, word = [], []
-    for i, words in enumerate(texts):
-        at.append(np.full(len(words), i, np.int64))
-        word.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-    made = [np.array(features_of(w), np.int64) for w in ids]
-    n = np.array([len(m) for m in made], np.int64)
-    flat = np.concatenate([*made, np.empty(0, np.int64)])
-    begin = np.cumsum(n) - n
-    at, word = np.concatenate([*at, np.empty(0, np.int64)]), np.concatenate([*word, np.empty(0, np.int64)])
-    each = n[word]
-    place = np.repeat(begin[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    pairs = np.unique((np.repeat(at, each) << 32) | flat[place])
-    return pairs >> 32, pairs & 0xFFFFFFFF
+class Features:
+    """The distinct features of texts, those of words kept."""
+
+    def __init__(self):
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        found: set[int] = set()
+        for w in words_of(text):
+            own = self.known.get(w)
+            if own is None:
+                own = self.known[w] = features_of(w)
+            found.update(own)
+        return np.fromiter(found, np.uint32, len(found))
+
+
+def _shares(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features, sorted, and in how many texts each stands."""
+    return np.unique(np.concatenate([*lists, np.empty(0, np.uint32)]), return_counts=True)
+
+
+def _telling(confirmed: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Features of enough confirmed texts, and of another share of them than of the unlabelled ones, beyond chance."""
+    seen, count = _shares(confirmed)
+    ok = count >= min(LEAST_TEXTS, max(1, len(confirmed) // 10))
+    seen, count = seen[ok], count[ok]
+    others, usual = _shares(unlabelled)
+    place = np.searchsorted(others, seen).clip(0, max(0, len(others) - 1))
+    there = others[place] == seen if len(others) else np.zeros(len(seen), bool)
+    share = (np.where(there, usual[place] if len(usual) else 0, 0) + 1) / (len(unlabelled) + 2)
+    excess = (count / len(confirmed) - share) / np.sqrt(share * (1 - share) / len(confirmed))
+    ok = np.abs(excess) > EXCESS
+    seen, excess = seen[ok], excess[ok]
+    return np.sort(seen[np.argsort(-np.abs(excess), kind="stable")[:FEATURES]])
 
 
 class PositiveUnlabelled:
@@ -88,20 +109,14 @@ class PositiveUnlabelled:
     def __init__(self, prior: float, rounds: int = ROUNDS, step: float = STEP, sparse: float = SPARSE):
         self.prior, self.rounds, self.step, self.sparse = prior, rounds, step, sparse
 
-    def fit(self, confirmed: list[list[str]], unlabelled: list[list[str]]) -> PositiveUnlabelled:
-        """Fits lists of distinct words; features of few confirmed texts get no weight."""
+    def fit(self, confirmed: list[np.ndarray], unlabelled: list[np.ndarray]) -> PositiveUnlabelled:
+        """Fits texts as their features; only those that tell confirmed texts apart get a weight."""
         n_p, n_u = len(confirmed), len(unlabelled)
-        text, feature = _matrix(confirmed + unlabelled)
-        seen, count = np.unique(feature[text < n_p], return_counts=True)
-        ok = count >= min(LEAST_TEXTS, max(1, n_p // 10))
-        seen, count = seen[ok], count[ok]
-        if len(seen) > FEATURES:
-            seen = np.sort(seen[np.argsort(-count, kind="stable")[:FEATURES]])
-        place = np.searchsorted(seen, feature)
-        known = place < len(seen)
-        known[known] = seen[place[known]] == feature[known]
-        text, place = text[known], place[known]
-        self.ids, self.weights, self.bias = seen, np.zeros(len(seen)), float(np.log(self.prior / (1 - self.prior)))
+        seen = _telling(confirmed, unlabelled)
+        lists = [x[np.isin(x, seen)] for x in confirmed + unlabelled]
+        text = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [len(x) for x in lists])
+        place = np.searchsorted(seen, np.concatenate(lists))
+        self.ids, self.weights, self.bias = seen.astype(np.int64), np.zeros(len(seen)), float(np.log(self.prior / (1 - self.prior)))
         share_p, share_u = np.r_[np.full(n_p, 1 / max(1, n_p)), np.zeros(n_u)], np.r_[np.zeros(n_p), np.full(n_u, 1 / max(1, n_u))]
         moment, square, beta = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1), (0.9, 0.999)
         for t in range(1, self.rounds + 1):
@@ -159,7 +174,7 @@ def _first(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 
 
 def _samples(docs: DataFrame, labels: DataFrame, models: int, confirmed: int, unlabelled: int) -> DataFrame:
-    """(model, confirmed, words): what each model is fitted on, texts as their distinct words."""
+    """(model, confirmed, h, n, features): what each model is fitted on, texts as their n distinct features of four bytes each."""
     each = F.explode(F.sequence(F.lit(0), F.lit(models - 1)))
     named = _first(labels.where("toxic = 1").select("doc_id", each.alias("model")).withColumn("h", F.xxhash64("doc_id", "model")), ["model"], confirmed)
     # At most models * confirmed ids, whatever the table.
@@ -170,15 +185,16 @@ def _samples(docs: DataFrame, labels: DataFrame, models: int, confirmed: int, un
     drawn = F.explode(F.filter(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: F.pmod(F.xxhash64("doc_id", "text", m), F.lit(1 << 30)) < limit))
     usual = docs.select("doc_id", "text", drawn.alias("model")).select("model", F.lit(False).alias("confirmed"), F.xxhash64("doc_id", "text", "model").alias("h"), "text")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         for batch in slices(batches):
-            made = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*map(batch.column, ("model", "confirmed", "h")), pa.array(made, pa.list_(pa.string()))], ["model", "confirmed", "h", "words"])
+            own = [features.of(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([*map(batch.column, ("model", "confirmed", "h")), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["model", "confirmed", "h", "n", "features"])
 
     taken = _first(toxic, ["model"], confirmed).unionByName(_first(usual, ["model"], unlabelled))
-    taken = taken.mapInArrow(words, "model int, confirmed boolean, h long, words array<string>")
-    upto = F.sum(F.size("words")).over(Window.partitionBy("model", "confirmed").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    return taken.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_WORDS).drop("_upto")
+    taken = materialise(taken.mapInArrow(made, "model int, confirmed boolean, h long, n long, features binary"), "texts")
+    upto = F.sum("n").over(Window.partitionBy("model", "confirmed").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    return taken.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_FEATURES).drop("_upto")
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, models: int = MODELS, confirmed: int = CONFIRMED, unlabelled: int = UNLABELLED) -> list[tuple[float, list[int], list[float]]]:
@@ -192,17 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, models
     if prior is None:
         share = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
         prior = min(max(PRIOR if share is None else share, LEAST_PRIOR), MOST_PRIOR)
-    samples = materialise(_samples(docs, labels, models, confirmed, unlabelled), "samples")
+    samples = _samples(docs, labels, models, confirmed, unlabelled)
 
     def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        toxic, usual = (rows.loc[rows["confirmed"] == c].sort_values("h")["words"].tolist() for c in (True, False))
+        toxic, usual = ([np.frombuffer(x, np.uint32) for x in rows.loc[rows["confirmed"] == c].sort_values("h")["features"]] for c in (True, False))
         if not toxic or not usual:
             return pd.DataFrame({"model": key, "bias": [float(np.log(prior / (1 - prior)))], "ids": [[]], "weights": [[]]})
         m = PositiveUnlabelled(prior).fit(toxic, usual)
         return pd.DataFrame({"model": key, "bias": [m.bias], "ids": [m.ids.tolist()], "weights": [m.weights.tolist()]})
 
     rows = samples.groupBy("model").applyInPandas(fitted, "model int, bias double, ids array<long>, weights array<double>").orderBy("model").collect()
-    discard(samples)
     return [(r["bias"], r["ids"], r["weights"]) for r in rows] or [(float(np.log(prior / (1 - prior))), [], [])]
 
 

@@ -193,6 +193,7 @@ def test_risk_of_clean_texts_stays_above_zero():
     words = [f"w{i}" for i in range(400)]
     toxic = [r.sample(words, 30) + ["badword"] for _ in range(40)]
     usual = [r.sample(words, 30) + (["badword"] if r.random() < 0.2 else []) for _ in range(80)]
-    m = toxicity.PositiveUnlabelled(0.2).fit(toxic, usual)
+    features = toxicity.Features()
+    m = toxicity.PositiveUnlabelled(0.2).fit(*([features.of(" ".join(t)) for t in texts] for texts in (toxic, usual)))
     score = lambda text: toxicity.Scorer([(m.bias, m.ids.tolist(), m.weights.tolist())]).score(text)
     assert score("w1 w2 badword") > 0.7 > score("w1 w2 w3")
