@@ -348,3 +348,4 @@ def fn15_quantiser_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 import marlstone.catalog_cells  # noqa: E402, F401  (adds its queries)
 import marlstone.catalog_pictures  # noqa: E402, F401
+import marlstone.catalog_boxes  # noqa: E402, F401
