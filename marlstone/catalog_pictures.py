@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import _query
-from marlstone.operators import cells, panel, tiles
+from marlstone.operators import cells, panel, resample, tiles
 from marlstone.session import table
 
 WIDTH = 48
@@ -153,3 +153,68 @@ SELECT page_id, cx, cy, greatest(q // n - (t // n) * (t // n), 0) AS variance, l
 def agg19_fine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cells.fine_features(_pieces(spark, sf_dir, "a"), ["page_id"], _pieces(spark, sf_dir, "cb", "cr"), "444", tile=32)
     return out.select("page_id", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"), "variance", "chroma")
+
+
+def _digest(pieces: DataFrame) -> DataFrame:
+    """Per picture: samples, their sum, and their sum weighed by place."""
+    rows = resample.samples_of(pieces, ["page_id"])
+    v = F.col("v0").cast("long")
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.sum(v * ((F.col("x") * 7 + F.col("y") * 13) % 101)).alias("weighed"))
+
+
+def _digest_sql(samples: str) -> str:
+    return f"SELECT page_id, count(*) AS n, sum(v)::BIGINT AS total, sum(v * ((x * 7 + y * 13) % 101))::BIGINT AS weighed FROM {samples} GROUP BY page_id"
+
+
+_HALVED = f"""{_SAMPLES}, t AS (SELECT unnest(range(-4, 6)) AS k, unnest({resample.HALVING.tolist()}) AS c),
+r AS (SELECT o.page_id, o.w, o.h, o.x, o.y, (CAST(sum(c * q.cb) AS BIGINT) + 1) >> 1 AS v FROM (SELECT DISTINCT page_id, w, h, x // 2 AS x, y FROM p0) o, t JOIN p0 q ON q.page_id = o.page_id AND q.y = o.y AND q.x = greatest(least(2 * o.x + k, o.w - 1), 0) GROUP BY ALL),
+z AS (SELECT o.page_id, o.w, o.h, o.x, o.y, greatest(least((CAST(sum(c * q.v) AS BIGINT) + 4096) >> 13, 255), 0) AS v FROM (SELECT DISTINCT page_id, w, h, x, y // 2 AS y FROM r) o, t JOIN r q ON q.page_id = o.page_id AND q.x = o.x AND q.y = greatest(least(2 * o.y + k, o.h - 1), 0) GROUP BY ALL)"""
+
+
+@_query(f"WITH {_HALVED} {_digest_sql('z')}")
+def k8_halved_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(resample.halve_chroma(_pieces(spark, sf_dir, "cb"), ["page_id"], "420", tile=40))
+
+
+def _doubling(place: str) -> str:
+    taps = resample.DOUBLING.tolist()
+    return f"CASE WHEN {place} % 2 = 0 THEN {taps[::-1]}[k + 4] ELSE {taps}[k + 4] END"
+
+
+@_query(f"""WITH {_HALVED}, s AS (SELECT unnest(range(-3, 4)) AS k),
+d AS (SELECT p.page_id, p.x, p.y, CAST(sum({_doubling('p.y')} * q.v) AS BIGINT) AS v FROM (SELECT DISTINCT page_id, h, x // 2 AS x, y FROM p0) p, s JOIN z q ON q.page_id = p.page_id AND q.x = p.x AND q.y = greatest(least(p.y // 2 + k, (p.h + 1) // 2 - 1), 0) GROUP BY ALL),
+e AS (SELECT p.page_id, p.x, p.y, greatest(least((CAST(sum({_doubling('p.x')} * q.v) AS BIGINT) + 2048) >> 12, 255), 0) AS v FROM p0 p, s JOIN d q ON q.page_id = p.page_id AND q.y = p.y AND q.x = greatest(least(p.x // 2 + k, (p.w + 1) // 2 - 1), 0) GROUP BY ALL)
+{_digest_sql('e')}""")
+def k9_doubled_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = _pieces(spark, sf_dir, "cb")
+    half = resample.halve_chroma(full, ["page_id"], "420")
+    sizes = full.groupBy("page_id").agg(F.max("w").alias("full_w"), F.max("h").alias("full_h"))
+    return _digest(resample.double_chroma(half.join(sizes, "page_id"), ["page_id"], F.col("full_w"), F.col("full_h"), "420", tile=40))
+
+
+def _lanczos(out: str, source: str, axis: str, size: str, other: str) -> str:
+    """One pass of a windowed sinc along an axis, edges repeated."""
+    return f"""{out}_g AS (
+  SELECT page_id, o, greatest(least(i, {size} - 1), 0) AS held, CASE WHEN abs(d) >= 3 THEN 0 WHEN abs(d) < 1e-9 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END AS g FROM (
+    SELECT page_id, {size}, o, i, (c - i) / step AS d FROM (SELECT page_id, {size}, o, step, c, unnest(range(CAST(floor(c - 3 * step) AS BIGINT), CAST(ceil(c + 3 * step) AS BIGINT) + 1)) AS i FROM (
+      SELECT page_id, {size}, o, {size} * 1.0 / n{size} AS step, (o + 0.5::DOUBLE) * ({size}::DOUBLE / n{size}) - 0.5 AS c FROM (SELECT page_id, {size}, n{size}, unnest(range(0, n{size})) AS o FROM n))))),
+{out}_w AS (SELECT page_id, o, held AS i, g / sum(g) OVER (PARTITION BY page_id, o) AS g FROM {out}_g),
+{out} AS (SELECT s.page_id, o AS {axis}, s.{other}, sum(g * s.v) AS v FROM {out}_w t JOIN {source} s ON s.page_id = t.page_id AND s.{axis} = t.i GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_SAMPLES}, n AS (SELECT DISTINCT page_id, w, h, CAST(greatest(round(w * (20.0::DOUBLE / greatest(w, h))), 1) AS BIGINT) AS nw, CAST(greatest(round(h * (20.0::DOUBLE / greatest(w, h))), 1) AS BIGINT) AS nh FROM p0),
+s AS (SELECT page_id, x, y, a AS v FROM p0), {_lanczos('across', 's', 'x', 'w', 'y')}, {_lanczos('down', 'across', 'y', 'h', 'x')}, f AS (SELECT page_id, x, y, greatest(least(floor(v + 0.5), 255), 0) AS v FROM down)
+{_digest_sql('f')}""")
+def k10_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(resample.resize_to_fit(_pieces(spark, sf_dir, "a"), ["page_id"], 20, tile=16))
+
+
+@_query(f"""WITH {_SAMPLES}, q AS (SELECT page_id // 10 AS canvas, page_id % 10 AS z, greatest(page_id * 17 % 90 - 20, 0) + x AS x, greatest(page_id * 29 % 110 - 20, 0) + y AS y, a AS v FROM p0),
+c AS (SELECT DISTINCT canvas, unnest(range(100)) AS x FROM q), g AS (SELECT canvas, x, unnest(range(120)) AS y FROM c),
+v AS (SELECT canvas, x, y, arg_max(v, z) AS v FROM q WHERE x < 100 AND y < 120 GROUP BY ALL)
+SELECT canvas AS page_id, count(*) AS n, sum(coalesce(v, 9))::BIGINT AS total, sum(coalesce(v, 9) * ((x * 7 + y * 13) % 101))::BIGINT AS weighed FROM g LEFT JOIN v USING (canvas, x, y) GROUP BY canvas""")
+def k16_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    layers = _pieces(spark, sf_dir, "a").withColumns({"x": i * 17 % 90 - 20, "y": i * 29 % 110 - 20, "z": i % 10, "page_id": F.floor(i / 10)})
+    canvases = layers.select("page_id").distinct().withColumns({"cw": F.lit(100), "ch": F.lit(120), "fill": F.array(F.lit(9.0))})
+    return _digest(resample.compose(canvases, layers, ["page_id"], tile=32))
