@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +30,25 @@ def get_session(app: str = "marlstone", cpus: int | str = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_dir: list[str] = []
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back, so that it is worked out once and outlives executors.
+
+    Only in local mode a temporary folder stands in where that is not set.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="marlstone-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        base = f"file://{_own_dir[0]}"
+    path = f"{base.rstrip('/')}/marlstone/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

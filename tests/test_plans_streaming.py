@@ -1,5 +1,7 @@
 """The sweep plan with a stand-in encoder, and the summary of arriving files."""
 
+import os
+
 from marlstone.plans import sweep_plan
 from marlstone.streaming.live_summary import arriving_results, live_summary
 
@@ -26,3 +28,29 @@ def test_live_summary(spark, tmp_path):
         q.awaitTermination(60)
     got = {r["variant"]: (r["n_runs"], r["mean_psnr"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (2, 31.0), "b": (1, 10.0)}
+
+
+def test_budget_search(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def encode(cell):
+        # A file a measurement; the same one again would not be made.
+        with open(f"{calls}/{cell['image']}-{cell['level']}", "x"):
+            pass
+        if cell["image"] == "broken" and cell["level"] < 30:
+            raise ValueError("too large to encode")
+        return {"size_bytes": cell["scale"] // cell["level"]}
+
+    rows = [("a", 1_000, 100), ("b", 1_000, 1_000), ("c", 1_000, 19), ("d", 1_000, 1), ("exact", 5_100, 100), ("broken", 600, 10_000), ("none", 1_000, None), ("zero", 0, 0), ("twice", 100, 50), ("twice", 100, 50), (None, 100, 10)]
+    pictures = spark.createDataFrame(rows, "image string, scale int, budget long")
+    out = {r["image"]: (r["level"], r["size_bytes"], r["fits"]) for r in sweep_plan.search_budget(pictures, ["image"], "budget", encode).collect()}
+    assert len(out) == 10
+    want = {}
+    for image, scale, budget in rows:
+        sizes = {level: scale // level for level in range(1, 52) if image != "broken" or level >= 30}
+        level = next((x for x in range(1, 52) if x in sizes and budget is not None and sizes[x] <= budget), None)
+        want[image] = (level or 51, sizes[level or 51], level is not None)
+    assert out == want
+    made = [f.rsplit("-", 1)[0] for f in os.listdir(calls)]
+    assert max(map(made.count, made)) <= 6
+    assert sweep_plan.search_budget(pictures.limit(0), ["image"], "budget", encode).collect() == []
