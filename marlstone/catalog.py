@@ -82,10 +82,34 @@ def j2_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.interpolate(curve.select("p_brand", (F.col("rate") + 0.5).alias("rate")), curve, ["p_brand"], "rate", "quality")
 
 
-@_query()
+def _bd_sql(curves: str, pairs: str) -> str:
+    """BD-rate by orthogonal polynomials: of curves (curve, q, r) and pairs (a, b) with whatever names them.
+
+    The cubic that fits log rates over quality is built from four polynomials that are
+    orthogonal on the curve's own points (three-term recurrence), in qualities moved to -1 ... 1.
+    """
+    return f"""c0 AS (SELECT curve, q, log10(r) AS y, count(*) OVER w AS n, min(q) OVER w AS lo, max(q) OVER w AS hi FROM ({curves}) WINDOW w AS (PARTITION BY curve)),
+c1 AS (SELECT *, (2 * q - lo - hi) / (hi - lo) AS x FROM c0 WHERE n >= 4 AND hi > lo),
+s1 AS (SELECT *, avg(x) OVER (PARTITION BY curve) AS a1 FROM c1),
+s2 AS (SELECT *, x - a1 AS p1 FROM s1),
+s3 AS (SELECT *, sum(x * p1 * p1) OVER w / sum(p1 * p1) OVER w AS a2, sum(p1 * p1) OVER w / n AS b2 FROM s2 WINDOW w AS (PARTITION BY curve)),
+s4 AS (SELECT *, (x - a2) * p1 - b2 AS p2 FROM s3),
+s5 AS (SELECT *, sum(x * p2 * p2) OVER w / nullif(sum(p2 * p2) OVER w, 0) AS a3, sum(p2 * p2) OVER w / sum(p1 * p1) OVER w AS b3 FROM s4 WINDOW w AS (PARTITION BY curve)),
+s6 AS (SELECT *, (x - a3) * p2 - b3 * p1 AS p3 FROM s5),
+f AS (SELECT curve, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(a1) AS a1, any_value(a2) AS a2, any_value(b2) AS b2, any_value(a3) AS a3, any_value(b3) AS b3,
+  avg(y) AS k0, sum(y * p1) / sum(p1 * p1) AS k1, sum(y * p2) / nullif(sum(p2 * p2), 0) AS k2, sum(y * p3) / nullif(sum(p3 * p3), 0) AS k3 FROM s6 GROUP BY curve),
+m AS (SELECT z.*, a.lo AS alo, a.hi AS ahi, b.lo AS blo, b.hi AS bhi, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM ({pairs}) z LEFT JOIN f a ON a.curve = z.a LEFT JOIN f b ON b.curve = z.b),
+g AS (SELECT unnest([-0.906179845938664, -0.538469310105683, 0.0, 0.538469310105683, 0.906179845938664]) AS t, unnest([0.236926885056189, 0.478628670499366, 0.568888888888889, 0.478628670499366, 0.236926885056189]) AS w),
+v AS (SELECT m.*, g.w, (lo + hi) / 2 + (hi - lo) / 2 * t AS pos FROM m, g),
+e AS (SELECT v.*, f.curve = v.a AS is_a, (2 * pos - f.lo - f.hi) / (f.hi - f.lo) AS x, f.* EXCLUDE (curve, n, lo, hi) FROM v JOIN f ON f.curve IN (v.a, v.b)),
+d AS (SELECT a, b, sum(CASE WHEN is_a THEN -1 ELSE 1 END * w / 2 * (k0 + k1 * (x - a1) + k2 * ((x - a2) * (x - a1) - b2) + k3 * ((x - a3) * ((x - a2) * (x - a1) - b2) - b3 * (x - a1)))) AS apart FROM e GROUP BY a, b)"""
+
+
+@_query(f"""WITH c AS (SELECT p_brand AS curve, p_size::DOUBLE AS r, round(avg(p_retailprice), 4) AS q FROM part GROUP BY ALL), {_bd_sql("SELECT * FROM c", "SELECT DISTINCT 'Brand#11' AS a, curve AS b FROM c WHERE curve <> 'Brand#11' AND EXISTS (SELECT 1 FROM c WHERE curve = 'Brand#11')")}
+SELECT m.b AS p_brand, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 3) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
 def agg40_bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = _part_curve(spark, sf_dir).withColumn("one", F.lit(1))
-    return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").drop("one")
+    return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").select("p_brand", F.round("bd_rate_pct", 3).alias("bd_rate_pct"))
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
@@ -171,7 +195,7 @@ def agg31_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.rank_table(_kinds(spark, sf_dir), "o_orderpriority")
 
 
-@_query(f"""WITH {_WINNERS} SELECT o_orderpriority, o_orderstatus, n_candidates, count(*) AS decisions, round(avg(winner_rank), 6) AS mean_rank
+@_query(f"""WITH {_WINNERS} SELECT o_orderpriority, o_orderstatus, n_candidates, CASE grouping(o_orderstatus) WHEN 0 THEN 'o_orderstatus' ELSE 'n_candidates' END AS dimension, count(*) AS decisions, round(avg(winner_rank), 6) AS mean_rank
 FROM d JOIN orders ON o_orderkey = l_orderkey GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority, n_candidates))""")
 def agg34_rank_crosstabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.rank_crosstabs(_kinds(spark, sf_dir), "o_orderpriority", ["o_orderstatus", "n_candidates"])
@@ -349,3 +373,4 @@ def fn15_quantiser_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 import marlstone.catalog_cells  # noqa: E402, F401  (adds its queries)
 import marlstone.catalog_pictures  # noqa: E402, F401
 import marlstone.catalog_boxes  # noqa: E402, F401
+import marlstone.catalog_plans  # noqa: E402, F401

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.catalog import _query
+from marlstone.catalog import _bd_sql, _query
 from marlstone.functions import offsets, scalars
 from marlstone.operators import blocks, grid, ledger, sweep
 from marlstone.session import table
+from marlstone.sources import results
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +70,6 @@ def fn8_two_pass_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(signal("rd"), 4).alias("rd"), F.round(signal("bits_per_sse"), 6).alias("bits_per_sse"), signal("").alias("energy"))
 
 
-@_query("""SELECT * FROM (VALUES ('off', 'off', 0.0::DOUBLE, 2), ('legacy-shrink', 'legacy_shrink', 0.0, 8), ('legacy', 'legacy_shrink', 0.0, 8), ('perceptual-mild', 'perceptual', 0.2, 2),
-  ('perceptual', 'perceptual', 0.35, 2), ('perceptual-chroma-mild', 'perceptual_chroma', 0.2, 2), ('perceptual-chroma', 'perceptual_chroma', 0.35, 2), ('auto-variance', 'auto_variance', 1.0, 6),
-  ('autovar', 'auto_variance', 1.0, 6), ('auto-variance-biased', 'auto_variance_biased', 1.0, 6), ('autovar-biased', 'auto_variance_biased', 1.0, 6), ('psnr-probe', 'psnr_probe', 0.35, 2),
-  ('psnr', 'psnr_probe', 0.35, 2), ('positive-probe', 'positive_probe', 0.35, 2), ('positive', 'positive_probe', 0.35, 2), ('two-pass', 'two_pass_measured', 1.0, 4), ('twopass', 'two_pass_measured', 1.0, 4)) t(name, mode, strength, clamp)""")
-def fn10_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.presets(spark)
-
-
 _REGIONS = f"""{_CELLS}, m AS (SELECT p_partkey, p_brand, v, c, c * 3 % 97 AS edge, v * 7 % 200 AS entropy, v * 11 % 256 AS dominance, v * 5 % 256 AS aligned, c % 11 AS noise FROM cells),
 r AS (SELECT *, CASE WHEN edge >= 64 AND entropy < 110 AND aligned >= 160 AND noise < 7 THEN 'text_like' WHEN edge >= 38 AND dominance >= 128 THEN 'directional_edge' WHEN noise >= 7 AND v < 64 THEN 'noisy'
   WHEN v >= 64 AND entropy >= 150 THEN 'texture' WHEN v < 12 AND edge < 13 THEN 'flat' WHEN edge < 26 THEN 'gradient' WHEN c >= 96 THEN 'chroma_critical' ELSE 'texture' END AS region FROM m)"""
@@ -351,18 +344,80 @@ def j12_size_map_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.size_map_pairs(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), [], "x", "y", "lg")
 
 
-@_query("""WITH b AS (SELECT p_partkey, p_partkey % 250 AS image, CAST(p_size % 8 AS INTEGER) AS x, CAST(p_partkey % 8 AS INTEGER) AS y, 4 AS size FROM part),
+@_query("""WITH b AS (SELECT p_partkey, p_partkey % (SELECT count(*) FROM embeddings) AS image, CAST(p_size % 8 AS INTEGER) AS x, CAST(p_partkey % 8 AS INTEGER) AS y, 4 AS size FROM part),
 m AS (SELECT vec_id, embedding[k]::DOUBLE AS v, (k - 1) % 8 AS px, (k - 1) // 8 AS py FROM embeddings, (SELECT unnest(range(1, 65)) AS k))
 SELECT p_partkey, round(var_pop(v), 6) AS variance FROM b JOIN m ON vec_id = image AND px >= x AND px < x + size AND py >= y AND py < y + size GROUP BY p_partkey""")
 def j6_block_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select("p_partkey", (k % 250).alias("image"), (F.col("p_size") % 8).cast("int").alias("x"), (k % 8).cast("int").alias("y"), F.lit(4).alias("size"))
+    count = table(spark, sf_dir, "embeddings").count()
+    rows = table(spark, sf_dir, "part").select("p_partkey", (k % count).alias("image"), (F.col("p_size") % 8).cast("int").alias("x"), (k % 8).cast("int").alias("y"), F.lit(4).alias("size"))
     pictures = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
     return grid.block_variances(rows, pictures, "image", "x", "y", "size").where("variance IS NOT NULL").select("p_partkey", F.round("variance", 6).alias("variance"))
 
 
-@_query()
+_RUNS = "c AS (SELECT substr(p_brand, 7, 1) || '-' || substr(p_brand, 8, 1) AS curve, substr(p_brand, 7, 1) AS encoder, p_size::DOUBLE AS r, round(avg(p_retailprice), 4) AS q FROM part GROUP BY ALL)"
+
+
+@_query(f"""WITH {_RUNS}, k AS (SELECT curve, encoder, count(*) AS n FROM c GROUP BY ALL), {_bd_sql("SELECT curve, q, r FROM c", "SELECT b.curve AS a, a.curve AS b, least(a.n, b.n) AS points FROM k a, k b WHERE a.encoder <> '1' AND b.encoder = '1'")}
+SELECT 'all' AS image, m.b AS test, m.a AS ref, points, 'quality' AS metric, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 3) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
 def j3_bd_rate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").withColumns({"encoder": F.substring("p_brand", 7, 1), "setting": F.substring("p_brand", 8, 1), "rate": F.col("p_size").cast("double")})
     curve = rows.groupBy("encoder", "setting", "rate").agg(F.round(F.avg("p_retailprice"), 4).alias("quality")).withColumn("image", F.lit("all"))
-    return sweep.bd_rate_pairs(curve, ["image"], "encoder", "setting", "1", "rate", ["quality"])
+    out = sweep.bd_rate_pairs(curve, ["image"], "encoder", "setting", "1", "rate", ["quality"])
+    return out.withColumn("bd_rate_pct", F.round("bd_rate_pct", 3))
+
+
+@_query("""WITH m AS (SELECT o_orderkey, o_orderpriority, o_totalprice, avg(log2(1 + o_totalprice)) OVER (PARTITION BY o_orderpriority) AS a FROM orders)
+SELECT o_orderkey, CAST(greatest(least(round(-2.0 * (log2(1 + o_totalprice) - a)), 6), -6) AS INTEGER) AS "offset" FROM m""")
+def fn2_variance_offsets_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.variance_offsets(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 2.0, 6, perceptual=False).select("o_orderkey", "offset")
+
+
+@_query(f"""WITH {_CELLS} SELECT p_partkey, round(pow(256.0 * v + CASE p_partkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 64.0 WHEN 2 THEN 128.0 ELSE 256.0 END * c + 1, 0.1), 6) AS root FROM cells""")
+def fn6_energy_root_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    fmt = F.when(k == 0, "gray").when(k == 1, "420").when(k == 2, "422").when(k == 3, "444")
+    return _cells(spark, sf_dir).select("p_partkey", F.round(offsets.energy_root(F.col("v"), F.col("c"), offsets.chroma_weight(fmt)), 6).alias("root"))
+
+
+@_query("""WITH g AS (SELECT p_partkey % 9 AS cx, p_partkey // 9 % 7 AS cy, max(p_size) AS o FROM part GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o AS "offset" FROM lineitem LEFT JOIN g ON cx = least(l_partkey % 400 // 32, 8) AND cy = least(l_suppkey * 3 // 32, 6)""")
+def j17_offset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    cells = part.groupBy((F.col("p_partkey") % 9).alias("cx"), (F.floor(F.col("p_partkey") / 9) % 7).alias("cy")).agg(F.max("p_size").alias("offset"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 400).alias("x"), (F.col("l_suppkey") * 3).alias("y"))
+    return grid.clamped_lookup(points, cells, "x", "y", 32, 9, 7, "offset").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "offset")
+
+
+@_query("""WITH b AS (SELECT p_partkey, [p_partkey % 7, p_size % 5, p_partkey % 3, p_size] AS b FROM part), t AS (SELECT p_partkey, b, list_sum(b) AS t FROM b)
+SELECT p_partkey, CAST(CASE WHEN t = 0 THEN 0 ELSE round(-list_sum(list_transform(b, lambda x: CASE WHEN x > 0 THEN x / t * log2(x / t) ELSE 0 END)) / 2 * 256) END AS INTEGER) AS entropy FROM t""")
+def fn12_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.entropy_q8(F.array(k % 7, s % 5, k % 3, s)).alias("entropy"))
+
+
+@_query("""WITH l AS (SELECT c_custkey AS line, c_nationkey * 40 AS x, c_custkey % 300 AS y, CAST(floor(c_acctbal) AS INTEGER) % 30 AS o, c_custkey % 11 = 0 AS bad FROM customer),
+p AS (SELECT line, least(x // 32, 19) AS cx, least(y // 32, 5) AS cy, greatest(least(o, 12), -12) AS o FROM l WHERE NOT bad AND line % 13 <> 0)
+SELECT cx, cy, CAST(arg_max(o, line) AS INTEGER) AS "offset" FROM p GROUP BY ALL""")
+def src30_offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, o = F.col("c_custkey"), F.floor("c_acctbal").cast("int") % 30
+    line = F.concat_ws(",", F.col("c_nationkey") * 40, k % 300, F.when(k % 11 == 0, F.lit("none")).otherwise(o.cast("string")))
+    text = F.when(k % 13 == 0, F.concat(F.lit("# "), line)).when(k % 5 == 0, F.concat(F.replace(line, F.lit(","), F.lit("  ")), F.lit(" # why"))).otherwise(line)
+    lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line"), text.alias("value"))
+    return grid.parse_offsets(lines, 32, 20, 6)
+
+
+@_query("""SELECT o_orderkey, o_custkey::DOUBLE AS waits, CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice, 2) END AS total_us FROM orders""")
+def src27_counters_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.format_string("%.2f", F.round("o_totalprice", 2))
+    text = F.concat(F.lit("[run] waits="), F.col("o_custkey"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(", total_us : "), price)).otherwise(F.lit(" subtotal_us=7")))
+    return results.counters_from_text(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("value")), ["waits", "total_us"])
+
+
+@_query("""WITH n AS (SELECT p_partkey, ['off', 'LEGACY', 'autovar', 'two-pass', 'nothing'][p_size % 5 + 1] AS name FROM part)
+SELECT p_partkey, CASE name WHEN 'off' THEN 'off' WHEN 'LEGACY' THEN 'legacy_shrink' WHEN 'autovar' THEN 'auto_variance' WHEN 'two-pass' THEN 'two_pass_measured' END AS mode,
+  CASE name WHEN 'off' THEN 0.0 WHEN 'LEGACY' THEN 0.0 WHEN 'autovar' THEN 1.0 WHEN 'two-pass' THEN 1.0 END::DOUBLE AS strength, CASE name WHEN 'off' THEN 2 WHEN 'LEGACY' THEN 8 WHEN 'autovar' THEN 6 WHEN 'two-pass' THEN 4 END::INTEGER AS clamp FROM n""")
+def fn10_preset_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("off", "LEGACY", "autovar", "two-pass", "nothing")))
+    found = table(spark, sf_dir, "part").select("p_partkey", offsets.preset_of(F.get(names, F.col("p_size") % 5)).alias("p"))
+    return found.select("p_partkey", "p.mode", "p.strength", "p.clamp")

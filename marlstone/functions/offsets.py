@@ -12,6 +12,8 @@ BOUNDS = {
     "flat_var": 12, "flat_edge": 13, "grad_edge": 26, "edge_dense": 38, "text_edge": 64, "dir_dominant": 128,
     "axis_aligned": 160, "low_entropy": 110, "high_entropy": 150, "texture_var": 64, "noise_hi": 7, "chroma_hi": 96,
 }
+# Samples of chroma in a block of 256, by format.
+CHROMA_WEIGHTS = {"gray": 0.0, "420": 64.0, "422": 128.0, "444": 256.0}
 # Presets by name: mode, strength, clamp.
 PRESETS = {
     "off": ("off", 0.0, 2),
@@ -50,9 +52,18 @@ def by_rank(log_variance: Column, low: Column, high: Column, clamp: int) -> Colu
     return F.greatest(F.least(F.round(F.round(F.lit(1.0) + rank * 7, 9)), F.lit(float(max(clamp, 1)))), F.lit(1.0)).cast("int")
 
 
-def energy_root(variance: Column, chroma: Column, chroma_weight: float) -> Column:
+def energy_root(variance: Column, chroma: Column, weight: float | Column) -> Column:
     """The tenth root of a 16x16 block's energy."""
-    return F.pow(variance * F.lit(256.0) + chroma * F.lit(chroma_weight) + F.lit(1.0), F.lit(0.1))
+    weight = weight if isinstance(weight, Column) else F.lit(weight)
+    return F.pow(variance * F.lit(256.0) + chroma * weight + F.lit(1.0), F.lit(0.1))
+
+
+def chroma_weight(fmt: Column) -> Column:
+    """The weight of chroma in ``energy_root`` by the picture's format; unknown formats have the most."""
+    out = F.lit(CHROMA_WEIGHTS["444"])
+    for name, weight in CHROMA_WEIGHTS.items():
+        out = F.when(fmt == name, F.lit(weight)).otherwise(out)
+    return out
 
 
 def by_energy(adj: Column, avg: Column, final: Column, strength: float, biased: bool, clamp: int) -> Column:
@@ -95,6 +106,7 @@ def region_class(variance: Column, edge: Column, entropy: Column, dominance: Col
     )
 
 
+# Fixed values in decision_class: eleven bounds.
 def decision_class(pu_per_ctu: Column, angular_pct: Column, tu4_pct: Column, mean_log2: Column, nz_per_px: Column, energy_per_px: Column) -> Column:
     """How an encoder treated a unit: smooth up to two points of eleven, texture from six."""
     points = [pu_per_ctu > 8, pu_per_ctu > 16, angular_pct > 60, tu4_pct > 20, tu4_pct > 40, mean_log2 < 3.4, mean_log2 < 3.0, nz_per_px > 0.08, nz_per_px > 0.22, energy_per_px > 80, energy_per_px > 300]
@@ -116,6 +128,12 @@ def container(asked: Column, output: Column) -> Column:
     return F.when(asked != "auto", asked).when(F.lower(output).rlike(r"[^/]\.hei[cf]$"), "heic").otherwise("bpg")
 
 
+def preset_of(name: Column) -> Column:
+    """(mode, strength, clamp) of a preset by its name, in any case; null for an unknown one."""
+    rows = F.create_map(*[x for n, (mode, strength, clamp) in PRESETS.items() for x in (F.lit(n), F.struct(F.lit(mode).alias("mode"), F.lit(strength).alias("strength"), F.lit(clamp).alias("clamp")))])
+    return F.element_at(rows, F.lower(name))
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """The named presets: name, mode, strength, clamp."""
     return spark.createDataFrame([(n, *p) for n, p in PRESETS.items()], "name string, mode string, strength double, clamp int")

@@ -89,9 +89,13 @@ def importance_offset(importance_q8: Column) -> Column:
     return F.round(F.lit(1.0) + (F.lit(1.0) - t) * 7).cast("int")
 
 
-def variance_offset(variance: Column, mean_log: Column, strength: float, clamp: int) -> Column:
-    """strength * (log2(1 + variance) - the picture's mean of it), rounded half away from zero and clamped."""
-    raw = F.round(F.lit(strength) * (F.log2(F.lit(1.0) + variance) - mean_log)).cast("int")
+def variance_offset(variance: Column, mean_log: Column, strength: float, clamp: int, perceptual: bool = True) -> Column:
+    """strength * (log2(1 + variance) - the picture's mean of it), rounded half away from zero and clamped.
+
+    Busy cells are coarser if ``perceptual``, as detail hides the loss; else they are finer,
+    where the error falls most for its bits.
+    """
+    raw = F.round(F.lit(strength if perceptual else -strength) * (F.log2(F.lit(1.0) + variance) - mean_log)).cast("int")
     return F.greatest(F.least(raw, F.lit(clamp)), F.lit(-clamp))
 
 

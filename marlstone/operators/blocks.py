@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalars import margin_bucket, share
+from marlstone.operators.keys import join_on
+from marlstone.operators.sweep import exact_medians
 
 #: Ranks from this on share a column.
 LAST_RANK = 6
@@ -37,10 +39,14 @@ def rank_table(winners: DataFrame, kind: str) -> DataFrame:
 
 
 def rank_crosstabs(winners: DataFrame, kind: str, others: Sequence[str]) -> DataFrame:
-    """Decisions by kind and each of the other columns apart, in one pass."""
-    sets = [F.grouping_id(kind, *others).alias("gid")]
+    """Decisions by kind and each of the other columns apart, in one pass.
+
+    ``dimension`` names the other column that a row is about, so that its nulls are told
+    from those of columns that are left out.
+    """
     grouped = winners.groupingSets([[F.col(kind), F.col(o)] for o in others], F.col(kind), *map(F.col, others))
-    return grouped.agg(*sets, F.count(F.lit(1)).alias("decisions"), F.round(F.avg("winner_rank"), 6).alias("mean_rank")).drop("gid")
+    dimension = F.coalesce(*[F.when(F.grouping(o) == 0, F.lit(o)) for o in others]).alias("dimension")
+    return grouped.agg(dimension, F.count(F.lit(1)).alias("decisions"), F.round(F.avg("winner_rank"), 6).alias("mean_rank"))
 
 
 def margin_table(winners: DataFrame, kind: str, weight: Column | None = None) -> DataFrame:
@@ -64,10 +70,12 @@ def split_table(decisions: DataFrame, by: Sequence[str], thresholds: Sequence[fl
     Columns read: winner_split, split_won_by, leaf_cost.  The gain is split_won_by / leaf_cost
     of splits with a leaf cost above 0 (0 if none); flips are counted against all decisions.
     """
-    gain = F.when((F.col("winner_split") == 1) & (F.col("leaf_cost") > 0), F.col("split_won_by") / F.col("leaf_cost"))
+    rows = decisions.withColumn("_gain", F.when((F.col("winner_split") == 1) & (F.col("leaf_cost") > 0), F.col("split_won_by") / F.col("leaf_cost")))
     n = F.count(F.lit(1))
-    flips = [F.round(F.count_if(gain < t) * 100.0 / n, 6).alias(f"flip_{round(t * 1000)}") for t in thresholds]
-    return decisions.groupBy(*by).agg(n.alias("n"), F.round(F.count_if(F.col("winner_split") == 1) * 100.0 / n, 6).alias("split_pct"), F.round(F.coalesce(F.median(gain), F.lit(0.0)), 6).alias("median_gain"), *flips)
+    flips = [F.round(F.count_if(F.col("_gain") < t) * 100.0 / n, 6).alias(f"flip_{round(t * 1000)}") for t in thresholds]
+    out = rows.groupBy(*by).agg(n.alias("n"), F.round(F.count_if(F.col("winner_split") == 1) * 100.0 / n, 6).alias("split_pct"), *flips)
+    out = join_on(out, exact_medians(rows, by, "_gain"), by, "left")
+    return out.select(*by, "n", "split_pct", F.round(F.coalesce("median", F.lit(0.0)), 6).alias("median_gain"), *[f"flip_{round(t * 1000)}" for t in thresholds])
 
 
 def class_shares(blocks: DataFrame, by: Sequence[str], value: str, area: Column) -> DataFrame:
@@ -108,5 +116,5 @@ def merge_counters(parts: DataFrame, by: Sequence[str], counters: Sequence[str],
     for a in arrays:
         places = parts.select(*by, F.posexplode(a).alias("place", "v")).groupBy(*by, "place").agg(F.sum("v").alias("v"))
         summed = places.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda s: s["v"]).alias(a))
-        out = out.join(summed, list(by), "left")
+        out = join_on(out, summed, by, "left")
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import offsets
 from marlstone.functions.scalars import variance_offset
+from marlstone.operators.keys import join_on
 
 
 def cell_statistics(values: Column) -> dict[str, Column]:
@@ -35,10 +36,10 @@ def _with_frame(cells: DataFrame, by: Sequence[str], **statistics: Column) -> Da
     return cells.join(frames, [cells[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(*[f"_by_{c}" for c in by])
 
 
-def variance_offsets(cells: DataFrame, by: Sequence[str], variance: str, strength: float = 1.0, clamp: int = 6) -> DataFrame:
-    """Adds ``offset``: quantiser offsets from the deviation of each cell's log variance from its picture's mean."""
+def variance_offsets(cells: DataFrame, by: Sequence[str], variance: str, strength: float = 1.0, clamp: int = 6, perceptual: bool = True) -> DataFrame:
+    """Adds ``offset``: quantiser offsets from the deviation of each cell's log variance from its picture's mean; the other way round unless ``perceptual``."""
     out = _with_frame(cells, by, _mean=F.avg(F.log2(F.lit(1.0) + F.col(variance))))
-    return out.withColumn("offset", variance_offset(F.col(variance), F.col("_mean"), strength, clamp)).drop("_mean")
+    return out.withColumn("offset", variance_offset(F.col(variance), F.col("_mean"), strength, clamp, perceptual)).drop("_mean")
 
 
 def rank_in_frame(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -131,7 +132,7 @@ def neighbour_mean(cells: DataFrame, by: Sequence[str], x: str, y: str, value: s
     steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     sent = cells.select(*by, x, y, value, F.explode(steps).alias("s"))
     sums = sent.groupBy(*by, (F.col(x) + F.col("s.dx")).alias(x), (F.col(y) + F.col("s.dy")).alias(y)).agg(F.call_function("div", F.sum(value), F.count(F.lit(1))).alias("around"))
-    return cells.join(sums, [*by, x, y], "left")
+    return join_on(cells, sums, [*by, x, y], "left")
 
 
 def cells_of(blocks: DataFrame, x: str, y: str, size: str, cell: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalars import margin_bucket, share
+from marlstone.operators.keys import join_on
 
 #: Children built from which on split decisions share a row.
 MOST_CHILDREN = 4
@@ -90,7 +91,7 @@ def region_table(events: DataFrame, region: str, amount: str, cells: DataFrame)
     work = events.groupBy(region).agg(F.sum(amount).alias("work"))
     whole = work.agg(F.sum("work").alias("_all"))
     n = cells.groupBy(region).agg(F.count(F.lit(1)).alias("cells"))
-    joined = work.join(n, region, "left").crossJoin(F.broadcast(whole))  # one row
+    joined = join_on(work, n, [region], "left").crossJoin(F.broadcast(whole))  # one row
     return joined.select(region, "work", F.round(share(F.col("work"), F.col("_all"), 100.0), 6).alias("work_pct"), F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
@@ -113,7 +114,7 @@ def split_waste(decisions: DataFrame, region: str, built: str, won: str, amount:
 def heat_map(events: DataFrame, units: DataFrame, unit: str, bits: str, counters: dict[str, Column]) -> DataFrame:
     """Per coding unit of ``units``, 0 where nothing happened: bytes and counters."""
     sums = events.groupBy(unit).agg(F.sum(bits).alias("_bits"), *[F.count_if(c).alias(n) for n, c in counters.items()])
-    out = units.select(unit).distinct().join(sums, unit, "left")
+    out = join_on(units.select(unit).distinct(), sums, [unit], "left")
     return out.select(unit, F.round(F.coalesce("_bits", F.lit(0)) / 8, 6).alias("bytes"), *[F.coalesce(n, F.lit(0)).alias(n) for n in counters])
 
 
@@ -132,7 +133,7 @@ def size_groups(runs: DataFrame, width: str, height: str, measures: Sequence[str
 def first_baseline(runs: DataFrame, by: Sequence[str], order: Sequence[str], seconds: str) -> DataFrame:
     """``runs`` with ``baseline_s``: the time of the group's first run that has one."""
     base = runs.where(F.col(seconds).isNotNull()).groupBy(*by).agg(F.min_by(F.col(seconds), F.struct(*order)).alias("baseline_s"))
-    return runs.join(base, list(by), "left")
+    return join_on(runs, base, by, "left")
 
 
 def alternate_order(runs: DataFrame, round_: str, label: str) -> DataFrame:

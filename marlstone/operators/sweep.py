@@ -129,7 +129,9 @@ def bd_rate_of(rate_a: Sequence[float], metric_a: Sequence[float], rate_b: Seque
     if not high > low or min(*rate_a, *rate_b) <= 0:
         return None
     try:
-        area = [np.diff(np.polyval(np.polyint(np.polyfit(m, np.log10(r), 3)), [low, high]))[0] for r, m in ((rate_a, metric_a), (rate_b, metric_b))]
+        # Fitted over qualities moved to -1 ... 1, where the cubic is well conditioned.
+        curves = [np.polynomial.Polynomial.fit(np.asarray(m, float), np.log10(np.asarray(r, float)), 3).integ() for r, m in ((rate_a, metric_a), (rate_b, metric_b))]
+        area = [c(high) - c(low) for c in curves]
     except (np.linalg.LinAlgError, ValueError, TypeError):
         return None
     out = (10 ** ((area[1] - area[0]) / (high - low)) - 1) * 100
