@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, small
+from marlstone.llm.common import free_names, materialise, small
 
 #: Most passes over any source, and parts of a source among which the last pass's end is sought.
 MAX_REPETITION = 2.0
@@ -140,11 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     run = F.col("before") + F.sum("t").over(Window.partitionBy("src").orderBy("place")) - F.col("t")
     ends = places.withColumn("run", run).where("run < rest").groupBy("src").agg(F.max("place").alias("end"))
     ends = ends.withColumnRenamed("src", "s")
-    plan = materialise(plan.join(ends.hint("merge"), F.col("src").eqNullSafe(F.col("s")), "left").select(F.col("src").alias("_mix_src"), F.col("weight").alias("mix_weight"), F.col("passes").alias("_mix_passes"), F.coalesce("end", F.lit(-1)).alias("_mix_end")), "ends")
+    own, whole, end = free_names(docs, "_mix_src", "_mix_passes", "_mix_end")
+    plan = materialise(plan.join(ends.hint("merge"), F.col("src").eqNullSafe(F.col("s")), "left").select(F.col("src").alias(own), F.col("weight").alias("mix_weight"), F.col("passes").alias(whole), F.coalesce("end", F.lit(-1)).alias(end)), "ends")
 
-    # Names of its own, as ``docs`` may have columns of any other name.
-    used = docs.join(small(plan, sources), docs[source_col].eqNullSafe(F.col("_mix_src")))
-    last = _order(F.col(id_col), seed, F.col("_mix_passes")) <= F.col("_mix_end")
-    epochs = F.col("_mix_passes") + F.when(last, F.lit(1)).otherwise(F.lit(0))
+    used = docs.join(small(plan, sources), docs[source_col].eqNullSafe(F.col(own)))
+    last = _order(F.col(id_col), seed, F.col(whole)) <= F.col(end)
+    epochs = F.col(whole) + F.when(last, F.lit(1)).otherwise(F.lit(0))
     used = used.where(epochs > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     return used.withColumn("mix_order", _order(F.col(id_col), seed, F.col("mix_epoch"))).select(*names, "mix_tokens", "mix_epoch", "mix_order", "mix_weight")

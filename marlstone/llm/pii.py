@@ -20,23 +20,26 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import free_names
+
 # Fixed patterns.
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = "Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Dott|Г-н|Г-жа|г-н|г-жа"
-#: A part of a name: an initial, or a word that may hold inner capitals and apostrophes.
-_WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*)"
+#: A part of a name: an initial, or a word that may hold inner capitals and apostrophes; of scripts without capitals, any word.
+_WORD = r"(?:\p{Lu}\.|[\p{Lu}\p{Lo}][\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+",
+    "iban": rf"{_B}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){_E}",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}])(?!\.[0-9])",
     "ssn": rf"(?<![\p{{L}}\p{{N}}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}-])",
     "card": rf"{_B}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:-[0-9]{{4}}){{3}}|[0-9]{{4}}(?: [0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_E}",
     "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_E}",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?:[ -]{_WORD}){{0,3}}(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?:[ -]{_WORD})*+(?!\p{{L}})",
 }
 KINDS = list(PATTERNS)
 #: What every entity holds: texts without it are passed on as they are.
-_HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}"
+_HINT = rf"[@0-9]|(?:{_TITLE})\.? [\p{{Lu}}\p{{Lo}}]"
 
 # Fixed alphabets; for characters outside them see ``STRETCHES``.
 ALPHABETS = [
@@ -60,7 +63,6 @@ NAMES = {
     "male_cyrillic": ["Иван", "Пётр", "Сергей", "Андрей", "Павел", "Олег", "Юрий"],
     "female_cyrillic": ["Анна", "Мария", "Ольга", "Елена", "Ирина", "Нина", "Вера"],
 }
-_FEMALE_TITLE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Г-жа|г-жа)"
 #: All alphabets in one text, each in a stretch of this many characters.
 _STRETCH = 32
 _GRID = "".join(a.ljust(_STRETCH) for a in ALPHABETS)
@@ -174,24 +176,44 @@ def _card(v: Column, key: str) -> Column:
     return _let(new, lambda x: F.concat(x, F.pmod(_check_digit(digits(x)) + off, F.lit(10))))
 
 
-def _given(name: Column, female: Column, key: str) -> Column:
-    """A known given name moves within its pool; another one within its format, on and on until it is outside the pool.
+def _remainder97(text: Column) -> Column:
+    """An account number, its first four characters moved behind, read as a number with letters from 10 on, modulo 97."""
+    chars = F.filter(F.split(F.concat(F.substring(text, F.lit(5), F.char_length(text)), F.substring(text, 1, 4)), ""), lambda c: c != "")
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(chars, F.lit(0), lambda a, c: _let(value(c), lambda v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))))
+
+
+def _iban(v: Column, key: str) -> Column:
+    """The country stays, and so do the groups; check digits are right if they were, and else as they were."""
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    country = F.substring(v, 1, 2)
+    body = _shuffled(F.substring(v, F.lit(5), F.char_length(v)), _tweak(key, "iban", country))
+
+    def checked(new: Column) -> Column:
+        digits = F.lpad((F.lit(98) - _remainder97(bare(F.concat(country, F.lit("00"), new)))).cast("string"), 2, "0")
+        return F.concat(country, F.when(_remainder97(bare(v)) == 1, digits).otherwise(F.substring(v, 3, 2)), new)
+
+    return _let(body, checked)
+
+
+def _given(name: Column, key: str) -> Column:
+    """A known given name moves within its pool, so it keeps its gender; another one within its format, on and on until it is in no pool of its script.
 
-    So either set is mapped onto itself, and no two names of one gender meet.
+    So either set is mapped onto itself, no two names meet, and a name has one surrogate
+    whatever title stands before it.
     """
     step = int(hashlib.sha256(f"{key}|given".encode()).hexdigest(), 16)
-    script = F.when(name.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    pool = F.concat_ws("_", F.when(female, F.lit("female")).otherwise(F.lit("male")), script)
-    tables = []
+    scripts: dict[str, list[str]] = {}
     for p, known in NAMES.items():
         turned = [known[(i + 1 + step % (len(known) - 1)) % len(known)] for i in range(len(known))]
-        tables.append(f"'{p}', array({', '.join(f"named_struct('old', '{a}', 'new', '{b}')" for a, b in zip(known, turned, strict=True))})")
-    names = F.try_element_at(F.expr(f"map({', '.join(tables)})"), pool)
+        scripts.setdefault(p.split("_")[1], []).extend(f"named_struct('old', '{a}', 'new', '{b}')" for a, b in zip(known, turned, strict=True))
+    tables = [f"'{script}', array({', '.join(rows)})" for script, rows in scripts.items()]
+    names = F.try_element_at(F.expr(f"map({', '.join(tables)})"), F.when(name.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin")))
 
     def within(table: Column) -> Column:
         moved = lambda x: _shuffled(x, _tweak(key, "given"))
         taken = lambda x: F.exists(table, lambda n: n["old"] == x)
-        # A walk meets each name of the pool at most once.
+        # A walk meets each name of the pools at most once.
         walks = F.sequence(F.lit(0), F.size(table))
         other = F.aggregate(walks, name, lambda x, i: F.when((i == 0) | taken(x), moved(x)).otherwise(x))
         return F.coalesce(F.get(F.filter(table, lambda n: n["old"] == name), 0)["new"], other)
@@ -199,10 +221,16 @@ def _given(name: Column, female: Column, key: str) -> Column:
     return _let(names, within)
 
 
-def _name(v: Column, key: str) -> Column:
-    """The title stays; the first of several words is a given name, of the title's gender, and the last a family name."""
-    title = F.regexp_extract(v, r"^\S+ ", 0)
-    rest = F.substring(v, F.char_length(title) + 1, F.char_length(v))
+def _title(v: Column) -> Column:
+    return F.regexp_extract(v, r"^\S+ ", 0)
+
+
+def _name_words(v: Column, key: str) -> Column:
+    """Array of (old, new, tail): the words of a titled name, and what parts each from the next.
+
+    The first of several words is a given name and the last one a family name.
+    """
+    rest = F.substring(v, F.char_length(_title(v)) + 1, F.char_length(v))
     words = F.split(rest, r"(?<=[ -])")
     bare = lambda w: F.regexp_replace(w, "[ -]$", "")
     tail = lambda w: F.regexp_extract(w, "[ -]$", 0)
@@ -211,11 +239,17 @@ def _name(v: Column, key: str) -> Column:
         def made(w: Column, i: Column) -> Column:
             last = i == F.size(all_) - 1
             part = F.concat(F.lit(f"{key}|"), F.when(last, F.lit("family")).otherwise(F.lit("middle")))
-            return F.concat(F.when((i == 0) & ~last, _given(bare(w), v.rlike(_FEMALE_TITLE), key)).otherwise(_shuffled(bare(w), part)), tail(w))
+            new = F.when((i == 0) & ~last, _given(bare(w), key)).otherwise(_shuffled(bare(w), part))
+            return F.struct(bare(w).alias("old"), new.alias("new"), tail(w).alias("tail"))
 
-        return F.array_join(F.transform(all_, made), "")
+        return F.transform(all_, made)
 
-    return F.concat(title, _let(words, each))
+    return _let(words, each)
+
+
+def _name(v: Column, words: Column) -> Column:
+    """The title stays; each word is replaced."""
+    return F.concat(_title(v), F.array_join(F.transform(words, lambda w: F.concat(w["new"], w["tail"])), ""))
 
 
 def _kind(v: Column) -> Column:
@@ -235,12 +269,24 @@ def _plain(v: Column, kind: Column, key: str) -> Column:
     return F.concat(before, _shuffled(middle, F.concat_ws("|", F.lit(key), kind, before)), after)
 
 
-def surrogate(value: Column, kind: Column, key: str) -> Column:
-    """The surrogate of an entity of a known kind."""
+_WORDS = "array<struct<old:string,new:string,tail:string>>"
+
+
+def _words_of(value: Column, kind: Column, key: str) -> Column:
+    """The words of a name; none for another kind."""
+    return F.when(kind == "name", _name_words(value, key)).otherwise(F.array().cast(_WORDS))
+
+
+def _replaced(value: Column, kind: Column, words: Column, key: str) -> Column:
     out = _plain(value, kind, key)
-    for name, make in (("ip", _ip), ("card", _card), ("name", _name)):
+    for name, make in (("ip", _ip), ("card", _card), ("iban", _iban)):
         out = F.when(kind == name, make(value, key)).otherwise(out)
-    return out
+    return F.when(kind == "name", _name(value, words)).otherwise(out)
+
+
+def surrogate(value: Column, kind: Column, key: str) -> Column:
+    """The surrogate of an entity of a known kind."""
+    return _replaced(value, kind, _words_of(value, kind, key), key)
 
 
 def entities(text: Column) -> Column:
@@ -251,24 +297,47 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(_HINT), pairs).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
+def _repeats(gap: Column, words: Column) -> Column:
+    """A stretch of text without entities, in which each word of the names found in the text is replaced as it is there.
+
+    All words are sought at once, so that no surrogate is replaced again.
+    """
+    alternatives = F.array_join(F.transform(words, lambda w: w["old"]), "|")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), alternatives, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    found = F.regexp_extract_all(gap, pattern, F.lit(0))
+    new = F.transform(found, lambda f: F.get(F.filter(words, lambda w: w["old"] == f), 0)["new"])
+    between = F.split(gap, pattern, -1)
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("g"), new.alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
+
+
 def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced in ``text_col`` and ``pii``, a map from each kind found to its count.
 
-    A null text stays null and holds no entity; a text without entities stays as it is.
-    Rows that repeat get the same text.  A column named ``pii`` is replaced.
+    Words of a titled name (initials and single letters apart) are replaced wherever else
+    they stand in the same text as words of their own, by the same surrogates; of a word
+    with several roles the first one counts.  A null text stays null and holds no entity;
+    a text without entities stays as it is.  Rows that repeat get the same text.  A column
+    named ``pii`` is replaced.
     """
     text = F.col(text_col)
-    out = docs.drop("pii").withColumn("_found", F.coalesce(entities(text), F.array().cast("array<struct<kind:string,value:string>>")))
-    out = out.withColumn("_new", F.transform("_found", lambda e: surrogate(e["value"], e["kind"], key)))
+    docs = docs.drop("pii")
+    found, made, known = free_names(docs, "_found", "_new", "_names")
+    out = docs.withColumn(found, F.coalesce(entities(text), F.array().cast("array<struct<kind:string,value:string>>")))
+    # Words first and apart, so that no expression grows too deep to be analysed.
+    out = out.withColumn(known, F.transform(found, lambda e: _words_of(e["value"], e["kind"], key)))
+    both = F.arrays_zip(F.col(found).alias("e"), F.col(known).alias("w"))
+    out = out.withColumn(made, F.transform(both, lambda x: _replaced(x["e"]["value"], x["e"]["kind"], x["w"], key)))
+    out = out.withColumn(known, F.filter(F.flatten(known), lambda w: (F.char_length(w["old"]) > 1) & ~w["old"].endswith(".")))
     gaps = F.split(text, "|".join(PATTERNS.values()), -1)
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), F.col("_new").alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
+    gaps = F.when(F.size(known) > 0, F.transform(gaps, lambda g: _repeats(g, F.col(known)))).otherwise(gaps)
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), F.col(made).alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_found", lambda e: e["kind"] == kind))
+        return F.size(F.filter(found, lambda e: e["kind"] == kind))
 
     counts = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(count, KINDS)))
-    out = out.withColumns({text_col: F.when(F.size("_found") > 0, joined).otherwise(text), "pii": F.map_filter(counts, lambda k, n: n > 0)})
-    return out.drop("_found", "_new")
+    out = out.withColumns({text_col: F.when(F.size(found) > 0, joined).otherwise(text), "pii": F.map_filter(counts, lambda k, n: n > 0)})
+    return out.drop(found, made, known)
 
 
 def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, slices, small
+from marlstone.llm.common import free_names, materialise, slices, small
 
 #: White space between words, and the symbols that are counted.
 SPACE = b" \t\n\v\f\r"
@@ -127,6 +127,7 @@ def quality_verdicts(docs: DataFrame, host_col: str = "source", text_col: str =
     measured rows are written once: hosts are counted from, and joined back to, that table.
     """
     measured = materialise(with_stats(docs.drop("host_rate", "kept"), text_col, keep_text), "quality")
-    rates = materialise(host_rates(measured, host_col).select(F.col("host").alias("_rated_host"), F.col("host_rate").alias("_host_rate")), "hosts")
-    joined = measured.join(small(rates), measured[host_col].eqNullSafe(rates["_rated_host"]), "left").drop("_rated_host").withColumnRenamed("_host_rate", "host_rate")
+    rated, rate = free_names(measured, "_rated_host", "_rate_of_host")
+    rates = materialise(host_rates(measured, host_col).select(F.col("host").alias(rated), F.col("host_rate").alias(rate)), "hosts")
+    joined = measured.join(small(rates), measured[host_col].eqNullSafe(rates[rated]), "left").drop(rated).withColumnRenamed(rate, "host_rate")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, slices, small
+from marlstone.llm.common import materialise, slices
 
 #: Code points and occurrences of a word, at least; by how much a form is more frequent.
 LETTERS, OCCURRENCES, TIMES = 6, 5, 5
@@ -237,5 +237,5 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # A form has ``times`` the occurrences, so no way is longer than this.
     longest = 1 + int(math.log(max(1, most / least), times)) if times > 1 else most
     ends = roots(forms, longest)
-    out = named.join(small(ends), "word", "left")
+    out = named.join(ends.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -217,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, models
         m = PositiveUnlabelled(prior).fit(toxic, usual)
         return pd.DataFrame({"model": key, "bias": [m.bias], "ids": [m.ids.tolist()], "weights": [m.weights.tolist()]})
 
-    rows = samples.groupBy("model").applyInPandas(fitted, "model int, bias double, ids array<long>, weights array<double>").orderBy("model").collect()
-    return [(r["bias"], r["ids"], r["weights"]) for r in rows] or [(float(np.log(prior / (1 - prior))), [], [])]
+    rows = samples.groupBy("model").applyInPandas(fitted, "model int, bias double, ids array<long>, weights array<double>").collect()
+    return [(r["bias"], r["ids"], r["weights"]) for r in sorted(rows, key=lambda r: r["model"])] or [(float(np.log(prior / (1 - prior))), [], [])]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

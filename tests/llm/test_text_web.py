@@ -148,6 +148,30 @@ def test_longer_names_and_very_long_entities(spark):
     assert out[9]["pii"] == {"email": 1} and len(out[9]["text"]) == 3012 and out[9]["text"].endswith(".com")
 
 
+def test_one_person_has_one_surrogate(spark):
+    said = [
+        "Mrs. Anna Schmidt met Dr. Anna Schmidt. Anna Schmidt left, and Schmidt's Anna; not Annabel or Goldschmidt.",
+        "Mr. John Paul George Richard Starkey played. Starkey sang.",
+        "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000; GB82 WEST 1234 5698 7654 32 and DE00370400440532013000.",
+        "Mr. 王 小明 came. 小明 left.",
+        "Mr. James Hall and Mr. Hall James. James. Hall.",
+        "Miss Susan O'Neil said O'Neil. A. O'Neil, Mr. B. Neil.",
+    ]
+    out = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), "key").collect()}
+    given, family = re.match(r"Mrs\. (\w+) (\w+) met", out[0]).groups()
+    assert out[0] == f"Mrs. {given} {family} met Dr. {given} {family}. {given} {family} left, and {family}'s {given}; not Annabel or Goldschmidt."
+    assert given in pii.NAMES["female_latin"] and given != "Anna"
+    words = out[1].split()
+    assert not set(words) & {"John", "Paul", "George", "Richard", "Starkey"} and words[5] == words[7] and words[8] == "sang."
+    ibans = re.findall(r"DE\w\w[ \d]+\d|GB\w\w [A-Z]{4} [ \d]+\d", out[2])
+    plain = [i.replace(" ", "") for i in ibans]
+    right = lambda i: int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1
+    assert len(plain) == 4 and plain[0] == plain[1] and [right(i) for i in plain] == [True, True, True, False]
+    assert not any(x in out[2] for x in ("3704", "0532", "WEST", "5698"))
+    assert re.fullmatch(r"Mr\. (\w) (\w\w) came\. \2 left\.", out[3]) and "小明" not in out[3]
+    assert not set(re.findall(r"\w+", out[4])) & {"James", "Hall"} and not re.search("Neil", out[5])
+
+
 def test_surrogates_are_distinct(spark):
     text = F.concat_ws(" ", F.format_string("10.%d.%d.7", F.col("id") % 256, F.floor(F.col("id") / 256)), F.format_string("+1 (212) 555-%04d", F.col("id")), F.format_string("u%d@m.example.com", F.col("id")), F.format_string("Mr. %s Doe", F.element_at(F.array(*map(F.lit, pii.NAMES["male_latin"])), (F.col("id") % 13 + 1).cast("int"))))
     docs = spark.range(600).select(text.alias("text"))
