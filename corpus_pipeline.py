@@ -6,10 +6,12 @@ the last, which returns where each piece of a document lies in a training sequen
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, small
+from marlstone.llm.common import free_names, materialise, small
 from marlstone.llm.mixing import mix
 from marlstone.llm.near_dup import near_duplicates
 from marlstone.llm.packing import pack_documents
@@ -22,38 +24,59 @@ from marlstone.llm.vocab import with_token_counts
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
+#: The columns that stages read or change.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _carrying(stage):
+    """``stage`` with all columns of a table but ``OWN`` under names that no operator gives or takes, and under their own again behind it."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        away = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+        return stage(spark, docs.withColumnsRenamed(away), sf_dir).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+
+    return run
+
+
+@_carrying
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is not rejected."""
     return quality_verdicts(docs).where("kept").select(*docs.columns)
 
 
+@_carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near-duplicates, by doc_id; of rows that repeat, one.
 
     Verdicts are by row, as an id may be null or stand for several texts.  Rows without
     words are alike only if their ids and texts are.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    verdicts = near_duplicates(numbered, id_col="_row", words=SHINGLE_WORDS, similarity=SIMILARITY).withColumnRenamed("doc_id", "_row")
+    (row,) = free_names(docs, "_row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    verdicts = near_duplicates(numbered, id_col=row, words=SHINGLE_WORDS, similarity=SIMILARITY).withColumnRenamed("doc_id", row)
     blank = F.col("n_shingles") == 0
     alike = [F.when(~blank, F.col("component_id")).alias("g0"), F.when(blank, F.col("doc_id")).alias("g1"), F.when(blank, F.col("digest")).alias("g2")]
-    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    ids = numbered.select("_row", "doc_id", F.sha2("text", 256).alias("digest"))
-    first = verdicts.join(ids.hint("merge"), "_row").groupBy(*alike).agg(F.min(own)["_row"].alias("_row"))
-    kept = materialise(first.select("_row"), "kept")
-    return numbered.join(small(kept), "_row", "left_semi").select(*docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
+    ids = numbered.select(row, "doc_id", F.sha2("text", 256).alias("digest"))
+    first = verdicts.join(ids.hint("merge"), row).groupBy(*alike).agg(F.min(own)[row].alias(row))
+    kept = materialise(first.select(row), "kept")
+    return numbered.join(small(kept), row, "left_semi").select(*docs.columns)
 
 
+@_carrying
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, and their new lengths."""
     out = with_surrogates(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
+@_carrying
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; smaller sources again, up to twice, for a flatter mix."""
-    counted = materialise(with_token_counts(docs, vocabulary(), "_tokens"), "counted")
-    return mix(counted, tokens=F.col("_tokens")).select(*docs.columns)
+    (tokens,) = free_names(docs, "_tokens")
+    counted = materialise(with_token_counts(docs, vocabulary(), tokens), "counted")
+    return mix(counted, tokens=F.col(tokens)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
