@@ -70,15 +70,16 @@ class Apart(dict):
 
 
 class Run:
-    """A piece while it grows: its symbols, after each the last token and the count, and the count if it ends here."""
+    """A piece while it grows: its last symbols, after each of all its symbols the last token and the count, and the count if it ends here."""
 
     __slots__ = ("closed", "count", "last", "symbols")
 
     def __init__(self, symbols: str = "", last: list[int] | None = None, count: list[int] | None = None, closed: int = 0):
         self.symbols, self.last, self.count, self.closed = symbols, last or [0], count or [0], closed
 
-    def cut(self, size: int, closed: int) -> None:
-        self.symbols, self.closed = self.symbols[:size], closed
+    def cut(self, symbols: str, size: int, closed: int) -> None:
+        """Goes back to ``size`` symbols, of which ``symbols`` are the last."""
+        self.symbols, self.closed = symbols, closed
         del self.last[size + 1 :], self.count[size + 1 :]
 
 
@@ -101,6 +102,9 @@ class PrefixCounter:
         names = [t.removesuffix(self.END) for t in names]
         self.base = base
         self.longest = max(map(len, names))
+        # What tokens end with: a token can end at a symbol only as far back as these reach.
+        self.tails = {t[k:] for t in names for k in range(len(t))}
+        self.forms: dict[str, str] = {}
         self.symbol = dict(enumerate(byte_symbols()))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.parted = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -134,18 +138,25 @@ class PrefixCounter:
     def _grow(self, run: Run, text: str) -> list[int]:
         """Adds code points to a piece; returns the piece's count if it ended after each of them."""
         data = text.encode()
-        start, s = len(run.symbols), run.symbols + data.decode("latin-1").translate(self.symbol)
+        # Only the last symbols are kept, so that a long piece grows in steps of the same length.
         last, count, ended = run.last, run.count, []
-        numbers, inside, ending, base, longest = self.numbers.get, self.apart_inside, self.apart_ending, self.base, self.longest
-        one_each, size = text.isascii(), len(s)
+        start, s = len(last) - 1, run.symbols + data.decode("latin-1").translate(self.symbol)
+        off = start - len(run.symbols)
+        numbers, inside, ending, base, tails = self.numbers.get, self.apart_inside, self.apart_ending, self.base, self.tails
+        one_each, size = text.isascii(), off + len(s)
         for i in range(start + 1, size + 1):
             ends = one_each or i == size or data[i - start] & 0xC0 != 0x80
             inner, closed = -1, None if ends else 0
-            for j in range(i - longest if i > longest else 0, i):
-                found = numbers(s[j:i])
+            at = i - off
+            low = at - 1
+            while low > 0 and s[low - 1 : at] in tails:
+                low -= 1
+            for k in range(low, at):
+                found = numbers(s[k:at])
                 if found is None:
                     continue
                 a, b = found
+                j = k + off
                 before = last[j] * base
                 if inner < 0 and a >= 0 and (j == 0 or inside[before + a]):
                     inner, inner_count = a, count[j] + 1
@@ -156,12 +167,12 @@ class PrefixCounter:
                     if inner >= 0:
                         break
             if inner < 0 or closed is None:
-                raise ValueError(f"no token of the vocabulary ends {s[:i]!r}")
+                raise ValueError(f"no token of the vocabulary ends {s[:at]!r}")
             last.append(inner)
             count.append(inner_count)
             if ends:
                 ended.append(closed)
-        run.symbols = s
+        run.symbols = s[-self.longest :]
         if ended:
             run.closed = ended[-1]
         return ended
@@ -249,6 +260,13 @@ class PrefixCounter:
             self.kinds[c] = kind
         return kind
 
+    def _form(self, c: str) -> str:
+        """The library's normal form of one code point."""
+        form = self.forms.get(c)
+        if form is None:
+            form = self.forms[c] = self.normalise(c)
+        return form
+
     def _fixed(self, c: str) -> bool:
         """Whether nothing from this code point on changes the normal form of what precedes it."""
         first = unicodedata.normalize("NFD", c)[0]
@@ -261,22 +279,40 @@ class PrefixCounter:
         form, whose prefixes are each normalised anew.
         """
         walk = Walk(self)
-        out, before = bytearray(), 0
+        out, before, letters = bytearray(), 0, []
+
+        def grow(now: int) -> None:
+            nonlocal before
+            out.append(now - before & 0xFF)
+            before = now
+
+        def feed_letters() -> None:
+            for now in walk.feed_letters("".join(letters)):
+                grow(now)
+            letters.clear()
+
         starts = [i for i, c in enumerate(text) if i == 0 or self._fixed(c)] + [len(text)]
         for lo, hi in zip(starts, starts[1:], strict=False):
             part = text[lo:hi]
+            if hi - lo == 1 and walk.short is None:
+                form = self._form(part)
+                if len(form) == 1 and self._kind(form) == "letter":
+                    letters.append(form)
+                    continue
+            if letters:
+                feed_letters()
             if unicodedata.is_normalized("NFC", part):  # and so is each of its prefixes
-                grown = ((self.normalise(c), False) for c in part)
+                grown = ((self._form(c), False) for c in part)
             else:
                 grown = ((self.normalise(part[: k + 1]), k + 1 < len(part)) for k in range(len(part)))
             for form, branch in grown:
                 mark = walk.mark() if branch else None
                 walk.feed(form)
-                now = walk.count()
-                out.append(now - before & 0xFF)
-                before = now
+                grow(walk.count())
                 if mark is not None:
                     walk.back(mark)
+        if letters:
+            feed_letters()
         return bytes(out)
 
     def _plain(self, text: str) -> bytes:
@@ -311,11 +347,11 @@ class Walk:
         self.short: tuple[int, str] | None = None
 
     def mark(self) -> tuple:
-        return self.run, len(self.run.symbols), self.run.closed, self.kind, self.base, self.short
+        return self.run, self.run.symbols, len(self.run.last) - 1, self.run.closed, self.kind, self.base, self.short
 
     def back(self, mark: tuple) -> None:
-        self.run, size, closed, self.kind, self.base, self.short = mark
-        self.run.cut(size, closed)
+        self.run, symbols, size, closed, self.kind, self.base, self.short = mark
+        self.run.cut(symbols, size, closed)
 
     def count(self) -> int:
         return self.base + self.run.closed
@@ -325,6 +361,13 @@ class Walk:
         self.base += self.run.closed
         self.run = Run()
 
+    def feed_letters(self, letters: str) -> list[int]:
+        """Adds letters, none behind an apostrophe that a contraction may begin with; returns the count after each."""
+        if self.kind != "letter":
+            self._finish()
+            self.kind = "letter"
+        return [self.base + ended for ended in self.counter._grow(self.run, letters)]
+
     def feed(self, form: str) -> None:
         for c in form:
             kind = self.counter._kind(c)

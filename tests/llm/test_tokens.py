@@ -1,6 +1,7 @@
 """Token counts, packing and training order against the library and brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -174,3 +175,29 @@ def test_words_side_by_side_are_counted_as_one_by_one():
     together.learn(pieces)
     assert len(together.pieces) > 200
     assert all(together.pieces[p] == alone.pieces[p] for p in pieces)
+
+
+def test_unspaced_scripts_take_time_in_proportion():
+    """A text without spaces is one piece; four times its length takes about four times as long."""
+    random_ = random.Random(4)
+    letters = [chr(c) for c in [*range(0x3041, 0x3090), *range(0x4E00, 0x5200)]]
+    library, took = vocab.tokenizer(PATH), {}
+    for n in (100_000, 400_000):
+        text = "".join(random_.choices(letters, k=n))
+        start = time.process_time()
+        deltas = token_counts.prefix_deltas(PATH, text)
+        took[n] = time.process_time() - start
+        assert token_counts.total(deltas) == len(library.encode(text, add_special_tokens=False).ids) and len(deltas) == n
+    assert took[400_000] < 5 * took[100_000] + 0.5
+
+
+def test_random_text_of_all_scripts_against_the_library():
+    random_ = random.Random(8)
+    pool = ["'s", "'ll", "'", "<|endoftext|>", "<|", "́", "̂", "é", "日", "한", "ᅡ", "ᆨ", "ก", "ि", "ß", "İ", "🙂", "Ω", "ж", "1", "٣", "\t", "\x01", " ", "ab", "Z", "!", "。"]
+    library = vocab.tokenizer(PATH)
+    for _ in range(400):
+        text = "".join(random_.choices(pool, k=random_.randrange(1, 14)))
+        deltas = token_counts.prefix_deltas(PATH, text)
+        at = random_.randrange(len(text) + 1)
+        for end in (at, len(text)):
+            assert token_counts.total(deltas[:end]) == len(library.encode(text[:end], add_special_tokens=False).ids), text[:end]
