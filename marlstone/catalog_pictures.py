@@ -49,8 +49,9 @@ def _smooth(out: str, source: str, taps: str, columns: dict[str, str]) -> str:
     """Two passes of a separable window, mirrored at the edges."""
     first = ", ".join(f"sum(g * ({e})) AS {n}" for n, e in columns.items())
     second = ", ".join(f"sum(g * q.{n}) AS {n}" for n in columns)
-    return f"""{out}_x AS (SELECT p.page_id, p.w, p.h, p.x, p.y, {first} FROM {source} p, {taps} JOIN {source} q ON q.page_id = p.page_id AND q.y = p.y AND q.x = {_mirror('p.x + k', 'p.w')} GROUP BY ALL),
-{out} AS (SELECT p.page_id, p.w, p.h, p.x, p.y, {second} FROM {out}_x p, {taps} JOIN {out}_x q ON q.page_id = p.page_id AND q.x = p.x AND q.y = {_mirror('p.y + k', 'p.h')} GROUP BY ALL)"""
+    # Places are worked out before the join, so that it is one of equal values.
+    return f"""{out}_x AS (SELECT p.page_id, p.w, p.h, p.x, p.y, {first} FROM (SELECT s.page_id, w, h, x, y, g, {_mirror('x + k', 'w')} AS pos FROM {source} s, {taps}) p JOIN {source} q ON q.page_id = p.page_id AND q.y = p.y AND q.x = p.pos GROUP BY ALL),
+{out} AS (SELECT p.page_id, p.w, p.h, p.x, p.y, {second} FROM (SELECT s.page_id, w, h, x, y, g, {_mirror('y + k', 'h')} AS pos FROM {out}_x s, {taps}) p JOIN {out}_x q ON q.page_id = p.page_id AND q.x = p.x AND q.y = p.pos GROUP BY ALL)"""
 
 
 _MOMENTS = {"ma": "q.a", "mb": "q.b", "aa": "q.a * q.a", "bb": "q.b * q.b", "ab": "q.a * q.b"}
@@ -118,7 +119,7 @@ def k4_masked_block_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRADIENTS = f"""{_SAMPLES}, o AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
 n AS (SELECT p.page_id, p.x, p.y, p.a, p.cb, p.cr, sum(i * (2 - abs(j)) * q.a) AS gx, sum(j * (2 - abs(i)) * q.a) AS gy, CAST(sum(q.a) AS BIGINT) // 9 AS box
-  FROM p0 p, o JOIN p0 q ON q.page_id = p.page_id AND q.x = greatest(least(p.x + i, p.w - 1), 0) AND q.y = greatest(least(p.y + j, p.h - 1), 0) GROUP BY ALL),
+  FROM (SELECT p0.*, i, j, greatest(least(x + i, w - 1), 0) AS px, greatest(least(y + j, h - 1), 0) AS py FROM p0, o) p JOIN p0 q ON q.page_id = p.page_id AND q.x = p.px AND q.y = p.py GROUP BY ALL),
 g AS (SELECT page_id, x // 32 AS cx, y // 32 AS cy, a, cb, cr, abs(gx) + abs(gy) AS grad, abs(a - box) AS res, CASE WHEN abs(gx) >= 2 * abs(gy) THEN 0 WHEN abs(gy) >= 2 * abs(gx) THEN 1 WHEN (gx > 0) = (gy > 0) THEN 2 ELSE 3 END AS bin FROM n),
 s AS (SELECT page_id, cx, cy, count(*) AS n, sum(a)::BIGINT AS t, sum(a * a)::BIGINT AS q, count(*) FILTER (grad > 48) AS edges, count(*) FILTER (grad < 12) AS flats, count(*) FILTER (grad < 24) AS weaks,
   coalesce(sum(res) FILTER (grad < 24), 0)::BIGINT AS residual, {', '.join(f'count(*) FILTER (grad > 48 AND bin = {k}) AS d{k}' for k in range(4))},
@@ -167,8 +168,8 @@ def _digest_sql(samples: str) -> str:
 
 
 _HALVED = f"""{_SAMPLES}, t AS (SELECT unnest(range(-4, 6)) AS k, unnest({resample.HALVING.tolist()}) AS c),
-r AS (SELECT o.page_id, o.w, o.h, o.x, o.y, (CAST(sum(c * q.cb) AS BIGINT) + 1) >> 1 AS v FROM (SELECT DISTINCT page_id, w, h, x // 2 AS x, y FROM p0) o, t JOIN p0 q ON q.page_id = o.page_id AND q.y = o.y AND q.x = greatest(least(2 * o.x + k, o.w - 1), 0) GROUP BY ALL),
-z AS (SELECT o.page_id, o.w, o.h, o.x, o.y, greatest(least((CAST(sum(c * q.v) AS BIGINT) + 4096) >> 13, 255), 0) AS v FROM (SELECT DISTINCT page_id, w, h, x, y // 2 AS y FROM r) o, t JOIN r q ON q.page_id = o.page_id AND q.x = o.x AND q.y = greatest(least(2 * o.y + k, o.h - 1), 0) GROUP BY ALL)"""
+r AS (SELECT o.page_id, o.w, o.h, o.x, o.y, (CAST(sum(c * q.cb) AS BIGINT) + 1) >> 1 AS v FROM (SELECT *, greatest(least(2 * x + k, w - 1), 0) AS pos FROM (SELECT DISTINCT page_id, w, h, x // 2 AS x, y FROM p0), t) o JOIN p0 q ON q.page_id = o.page_id AND q.y = o.y AND q.x = o.pos GROUP BY ALL),
+z AS (SELECT o.page_id, o.w, o.h, o.x, o.y, greatest(least((CAST(sum(c * q.v) AS BIGINT) + 4096) >> 13, 255), 0) AS v FROM (SELECT *, greatest(least(2 * y + k, h - 1), 0) AS pos FROM (SELECT DISTINCT page_id, w, h, x, y // 2 AS y FROM r), t) o JOIN r q ON q.page_id = o.page_id AND q.x = o.x AND q.y = o.pos GROUP BY ALL)"""
 
 
 @_query(f"WITH {_HALVED} {_digest_sql('z')}")
@@ -182,8 +183,8 @@ def _doubling(place: str) -> str:
 
 
 @_query(f"""WITH {_HALVED}, s AS (SELECT unnest(range(-3, 4)) AS k),
-d AS (SELECT p.page_id, p.x, p.y, CAST(sum({_doubling('p.y')} * q.v) AS BIGINT) AS v FROM (SELECT DISTINCT page_id, h, x // 2 AS x, y FROM p0) p, s JOIN z q ON q.page_id = p.page_id AND q.x = p.x AND q.y = greatest(least(p.y // 2 + k, (p.h + 1) // 2 - 1), 0) GROUP BY ALL),
-e AS (SELECT p.page_id, p.x, p.y, greatest(least((CAST(sum({_doubling('p.x')} * q.v) AS BIGINT) + 2048) >> 12, 255), 0) AS v FROM p0 p, s JOIN d q ON q.page_id = p.page_id AND q.y = p.y AND q.x = greatest(least(p.x // 2 + k, (p.w + 1) // 2 - 1), 0) GROUP BY ALL)
+d AS (SELECT p.page_id, p.x, p.y, CAST(sum({_doubling('p.y')} * q.v) AS BIGINT) AS v FROM (SELECT *, greatest(least(y // 2 + k, (h + 1) // 2 - 1), 0) AS pos FROM (SELECT DISTINCT page_id, h, x // 2 AS x, y FROM p0), s) p JOIN z q ON q.page_id = p.page_id AND q.x = p.x AND q.y = p.pos GROUP BY ALL),
+e AS (SELECT p.page_id, p.x, p.y, greatest(least((CAST(sum({_doubling('p.x')} * q.v) AS BIGINT) + 2048) >> 12, 255), 0) AS v FROM (SELECT p0.*, k, greatest(least(x // 2 + k, (w + 1) // 2 - 1), 0) AS pos FROM p0, s) p JOIN d q ON q.page_id = p.page_id AND q.y = p.y AND q.x = p.pos GROUP BY ALL)
 {_digest_sql('e')}""")
 def k9_doubled_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _pieces(spark, sf_dir, "cb")
