@@ -106,10 +106,10 @@ d AS (SELECT a, b, sum(CASE WHEN is_a THEN -1 ELSE 1 END * w / 2 * (k0 + k1 * (x
 
 
 @_query(f"""WITH c AS (SELECT p_brand AS curve, p_size::DOUBLE AS r, round(avg(p_retailprice), 4) AS q FROM part GROUP BY ALL), {_bd_sql("SELECT * FROM c", "SELECT DISTINCT 'Brand#11' AS a, curve AS b FROM c WHERE curve <> 'Brand#11' AND EXISTS (SELECT 1 FROM c WHERE curve = 'Brand#11')")}
-SELECT m.b AS p_brand, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 3) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
+SELECT m.b AS p_brand, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 6) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
 def agg40_bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = _part_curve(spark, sf_dir).withColumn("one", F.lit(1))
-    return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").select("p_brand", F.round("bd_rate_pct", 3).alias("bd_rate_pct"))
+    return sweep.bd_rate(curve, ["one"], "p_brand", "Brand#11", "rate", "quality").select("p_brand", F.round("bd_rate_pct", 6).alias("bd_rate_pct"))
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")

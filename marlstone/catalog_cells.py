@@ -359,12 +359,12 @@ _RUNS = "c AS (SELECT substr(p_brand, 7, 1) || '-' || substr(p_brand, 8, 1) AS c
 
 
 @_query(f"""WITH {_RUNS}, k AS (SELECT curve, encoder, count(*) AS n FROM c GROUP BY ALL), {_bd_sql("SELECT curve, q, r FROM c", "SELECT b.curve AS a, a.curve AS b, least(a.n, b.n) AS points FROM k a, k b WHERE a.encoder <> '1' AND b.encoder = '1'")}
-SELECT 'all' AS image, m.b AS test, m.a AS ref, points, 'quality' AS metric, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 3) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
+SELECT 'all' AS image, m.b AS test, m.a AS ref, points, 'quality' AS metric, round(CASE WHEN m.hi > m.lo THEN (10 ** apart - 1) * 100 END, 6) AS bd_rate_pct FROM m LEFT JOIN d USING (a, b)""")
 def j3_bd_rate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").withColumns({"encoder": F.substring("p_brand", 7, 1), "setting": F.substring("p_brand", 8, 1), "rate": F.col("p_size").cast("double")})
     curve = rows.groupBy("encoder", "setting", "rate").agg(F.round(F.avg("p_retailprice"), 4).alias("quality")).withColumn("image", F.lit("all"))
     out = sweep.bd_rate_pairs(curve, ["image"], "encoder", "setting", "1", "rate", ["quality"])
-    return out.withColumn("bd_rate_pct", F.round("bd_rate_pct", 3))
+    return out.withColumn("bd_rate_pct", F.round("bd_rate_pct", 6))
 
 
 @_query("""WITH m AS (SELECT o_orderkey, o_orderpriority, o_totalprice, avg(log2(1 + o_totalprice)) OVER (PARTITION BY o_orderpriority) AS a FROM orders)
