@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import _query
-from marlstone.session import table
+from marlstone.session import table, written
 from marlstone.sources import boxes
 
 ALPHA = "urn:mpeg:hevc:2015:auxid:1"
@@ -28,8 +28,9 @@ _ITEMS = f"""i AS (SELECT p_partkey // 40 AS file, p_partkey % 40 + 1 AS item, C
 
 
 def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = boxes.pack_files(_items(spark, sf_dir))
-    return files, boxes.box_table(files)
+    # Every table of a file is read from its boxes, which are packed and walked once.
+    files = written(boxes.pack_files(_items(spark, sf_dir)), "files")
+    return files, written(boxes.box_table(files), "boxes")
 
 
 def _assembled(found: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ SELECT file, path, n FROM (SELECT file, unnest(['ftyp', 'meta', 'mdat', 'meta/pi
   unnest([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, items, properties, derived, auxiliary]) AS n FROM f) WHERE n > 0""")
 def src19_box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("path", "^meta/iprp/ipco/.*", "meta/iprp/ipco/*")
-    return _read(spark, sf_dir)[1].groupBy("file", path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return boxes.box_table(boxes.pack_files(_items(spark, sf_dir))).groupBy("file", path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"""WITH {_ITEMS} SELECT file, item, kind, name, width, height, concat_ws(',', CASE WHEN angle > 0 THEN 'irot' || angle END, 'imir' || axis) AS moves, aux, CASE WHEN kind = 'hvc1' THEN p_type END AS text FROM i""")

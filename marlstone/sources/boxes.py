@@ -10,16 +10,21 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import written
+
 # Boxes that hold boxes, with the bytes before the first of them; brands of image files.
 HOLDERS = {"meta": 4, "iprp": 0, "ipco": 0, "iref": 4}
 BRANDS = ["heic", "heix", "hevc", "hevx", "mif1", "msf1"]
 #: How deep derived images may refer to others.
 MOST_DEPTH = 8
+#: Rows, and bytes of them, that a task makes at a time.
+MOST_ROWS, MOST_BYTES = 5_000, 4 << 20
 
 
 def container_kind(content: Column) -> Column:
@@ -64,14 +69,24 @@ def _per_row(rows: DataFrame, keep: Sequence[str], column: str, made: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for i, data in enumerate(batch.column(column).to_pylist()):
-                for entry in made(data) if data is not None else ():
+            at, out, size = [], [], 0
+            for i, data in enumerate(batch.column(column)):
+                if not data.is_valid:
+                    continue
+                for entry in made(data.as_py()):
                     at.append(i)
                     out.append(entry)
-            columns = list(zip(*out, strict=True)) or [[] for _ in fields]
-            kept = batch.select(list(keep)).take(pa.array(at, pa.int64()))
-            yield pa.record_batch([*kept.columns, *(pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True))], [*keep, *(n for n, _, _ in fields)])
+                    size += sum(len(v) for v in entry if isinstance(v, bytes))
+                    # A row makes many, so what is made goes on before the batch ends.
+                    if len(out) >= MOST_ROWS or size >= MOST_BYTES:
+                        yield batched(batch, at, out)
+                        at, out, size = [], [], 0
+            yield batched(batch, at, out)
+
+    def batched(batch: pa.RecordBatch, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+        kept = batch.select(list(keep)).take(pa.array(at, pa.int64()))
+        return pa.record_batch([*kept.columns, *(pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True))], [*keep, *(n for n, _, _ in fields)])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{n} {t}" for n, t, _ in fields)])
     return rows.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
@@ -333,7 +348,6 @@ def derived_sources(items: DataFrame, references: DataFrame, most_depth: int = M
     can't be put together: 'cycle', 'too deep' (more than ``most_depth`` steps),
     'no reference' or 'missing item' (``item`` is then where it was found).
     """
-    spark = items.sparkSession
     kinds = items.select("file", "item", "kind")
     links = references.where("kind = 'dimg'").select("file", "item", "offset", "ordinal", F.posexplode("to").alias("place", "target"))
     links = links.join(kinds, ["file", "item"])
@@ -343,15 +357,23 @@ def derived_sources(items: DataFrame, references: DataFrame, most_depth: int = M
     # Every derived item gets a row without a target if it has none.
     derived = kinds.where("kind IN ('iden', 'iovl', 'grid')").select("file", "item", F.col("kind").alias("of"))
     steps = derived.join(links, ["file", "item"], "left").join(kinds.select("file", F.col("item").alias("target"), F.col("kind").alias("target_kind")), ["file", "target"], "left")
-    stop = """CASE WHEN s.target IS NULL THEN 'no reference' WHEN array_contains(c.path, s.target) THEN 'cycle' WHEN s.target_kind IS NULL THEN 'missing item'
-      WHEN c.depth + 1 > {most} AND s.of <> 'grid' THEN 'too deep' END"""
-    chain = f"""WITH RECURSIVE chain(file, root, item, kind, depth, path, fault) AS (
-      SELECT file, item, item, kind, 0, array(item), CAST(NULL AS STRING) FROM {{kinds}}
-      UNION ALL
-      SELECT c.file, c.root, coalesce(s.target, c.item), CASE WHEN s.of = 'grid' THEN 'tile' ELSE coalesce(s.target_kind, 'none') END, c.depth + 1, concat(c.path, array(s.target)), {stop.replace("{most}", str(int(most_depth)))}
-      FROM chain c JOIN {{steps}} s ON s.file = c.file AND s.item = c.item AND s.of = c.kind WHERE c.fault IS NULL)
-    SELECT file, root, item, depth, fault FROM chain WHERE fault IS NOT NULL OR kind NOT IN ('iden', 'iovl', 'grid')"""
-    return spark.sql(chain, kinds=kinds, steps=steps)
+    steps = written(steps.select(F.col("file").alias("_f"), F.col("item").alias("_i"), "of", "target", "target_kind"), "steps")
+    fault = F.expr(f"""CASE WHEN target IS NULL THEN 'no reference' WHEN array_contains(path, target) THEN 'cycle' WHEN target_kind IS NULL THEN 'missing item'
+      WHEN depth + 1 > {int(most_depth)} AND of <> 'grid' THEN 'too deep' END""")
+    kind = F.when(F.col("of") == "grid", "tile").otherwise(F.coalesce("target_kind", F.lit("none")))
+    on = (F.col("file") == F.col("_f")) & (F.col("item") == F.col("_i")) & (F.col("kind") == F.col("of"))
+    roots = kinds.select("file", F.col("item").alias("root"), "item", "kind", F.lit(0).alias("depth"), F.array("item").alias("path"), F.lit(None).cast("string").alias("fault"))
+    open_ = F.col("fault").isNull() & F.col("kind").isin("iden", "iovl", "grid")
+    levels = [written(roots, "level0")]
+    # A round of joins a step: beyond ``most_depth`` every step is an end.  Each round is written, so that none is worked out twice.
+    for depth in range(1, max(0, int(most_depth)) + 2):
+        rows = levels[-1].where(open_).join(steps, on)
+        rows = rows.select("file", "root", F.coalesce("target", "item").alias("item"), kind.alias("kind"), F.lit(depth).alias("depth"), F.concat("path", F.array("target")).alias("path"), fault.alias("fault"))
+        levels.append(written(rows, f"level{depth}"))
+        if levels[-1].where(open_).isEmpty():
+            break
+    ends = [level.where(~open_).select("file", "root", "item", "depth", "fault") for level in levels]
+    return reduce(DataFrame.unionAll, ends)
 
 
 def box(kind: str, *parts: bytes) -> bytes:

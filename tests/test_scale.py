@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from marlstone import catalog
+from marlstone.sources import boxes
 
 
 def test_cell_statistics_in_the_precision_of_the_table(spark, tmp_path):
@@ -14,3 +15,10 @@ def test_cell_statistics_in_the_precision_of_the_table(spark, tmp_path):
     got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
     want = duckdb.connect().sql(catalog.oracle_sql()[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")).fetchall()
     assert got == sorted(want) and got[0][2] == (29 + 57 - 29) // 3
+
+
+def test_more_derived_images_than_a_recursive_query_may_have(spark):
+    items = spark.range(1_000_001).selectExpr("id DIV 40 AS file", "id % 40 AS item", "CASE WHEN id % 40 = 0 THEN 'hvc1' ELSE 'iden' END AS kind")
+    references = items.where("kind = 'iden' AND item < 3").selectExpr("file", "'dimg' AS kind", "item AS offset", "0 AS ordinal", "item", "array(item - 1) AS to")
+    out = {(r["depth"], r["fault"]): r["count"] for r in boxes.derived_sources(items, references).groupBy("depth", "fault").count().collect()}
+    assert out == {(0, None): 25_001, (1, None): 25_000, (2, None): 25_000, (1, "no reference"): 37 * 25_000}
