@@ -8,13 +8,14 @@ last one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.tiles import PIECE, TILE, _batch, _FIELDS
+from marlstone.operators.tiles import PIECE, TILE, _batch, _FIELDS, by_tile, decoded, encoded, sliced
 
 # Taps that halve chroma between two samples, and that double it, before and behind a sample.
 HALVING = np.array([2, -4, -8, 17, 57, 57, 17, -8, -4, 2])
@@ -41,13 +42,13 @@ def _resampled(pieces: DataFrame, by: Sequence[str], size: tuple[Column, Column]
     sized = pieces.select(*by, *(n for n, _ in _FIELDS), size[0].cast("int").alias("ow"), size[1].cast("int").alias("oh")).where("ow > 0 AND oh > 0")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "data"):
             at, out = [], []
             rows = zip(*(batch.column(n).to_pylist() for n in [*(n for n, _ in _FIELDS), "ow", "oh"]), strict=True)
             for i, (w, h, px, py, pw, ph, planes, data, _, ow, oh) in enumerate(rows):
                 if not data:
                     continue
-                full = np.frombuffer(data).reshape(planes, ph, pw)
+                full = decoded(data, planes, ph, pw)
                 spans = []
                 for source, start, count, result, window in ((w, px, pw, ow, windows[0]), (h, py, ph, oh, windows[1])):
                     needed = ((t, *_held(window(t * tile, min(result, (t + 1) * tile) - 1, source, result), source)) for t in range(-(-result // tile)))
@@ -59,21 +60,21 @@ def _resampled(pieces: DataFrame, by: Sequence[str], size: tuple[Column, Column]
                         out.append((w, h, x0, y0, x1 - x0, y1 - y0, planes, part.tobytes(), None, tx, ty, ow, oh))
             yield _batch(batch.select(by).take(pa.array(at, pa.int64())), by, out, extra)
 
-    def made(rows: pa.Table) -> pa.Table:
-        first = {c: rows.column(c)[0].as_py() for c in ("tx", "ty", "w", "h", "ow", "oh", "planes")}
-        xs = np.arange(first["tx"] * tile, min(first["ow"], (first["tx"] + 1) * tile))
-        ys = np.arange(first["ty"] * tile, min(first["oh"], (first["ty"] + 1) * tile))
+    def made(rows: list[dict], tx: int, ty: int) -> dict:
+        first = rows[0]
+        xs = np.arange(tx * tile, min(first["ow"], (tx + 1) * tile))
+        ys = np.arange(ty * tile, min(first["oh"], (ty + 1) * tile))
         (x0, x1), (y0, y1) = (_held(f(int(p[0]), int(p[-1]), n, m), n) for f, p, n, m in ((windows[0], xs, first["w"], first["ow"]), (windows[1], ys, first["h"], first["oh"])))
         source = np.zeros((first["planes"], y1 - y0 + 1, x1 - x0 + 1))
-        for px, py, pw, ph, data in zip(*(rows.column(c).to_pylist() for c in ("px", "py", "pw", "ph", "data")), strict=True):
-            source[:, py - y0 : py - y0 + ph, px - x0 : px - x0 + pw] = np.frombuffer(data).reshape(-1, ph, pw)
+        for r in rows:
+            px, py, pw, ph = (r[c] for c in ("px", "py", "pw", "ph"))
+            source[:, py - y0 : py - y0 + ph, px - x0 : px - x0 + pw] = decoded(r["data"], r["planes"], ph, pw)
         result = kernel(source, (x0, y0), (xs, ys), (first["w"], first["h"]), (first["ow"], first["oh"]))
-        row = (first["ow"], first["oh"], int(xs[0]), int(ys[0]), len(xs), len(ys), len(result), np.ascontiguousarray(result, np.float64).tobytes(), [])
-        own = pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().slice(0, 1) for c in by], by) if by else rows.to_batches()[0].slice(0, 1)
-        return pa.Table.from_batches([_batch(own, by, [row])])
+        row = (first["ow"], first["oh"], int(xs[0]), int(ys[0]), len(xs), len(ys), len(result), encoded(result), [])
+        return {n: [v] for (n, _), v in zip(_FIELDS, row, strict=True)}
 
     sent = sized.mapInArrow(cut, ", ".join([keys, PIECE, "tx int, ty int, ow int, oh int"]))
-    return sent.groupBy(*by, "tx", "ty").applyInArrow(made, f"{keys}, {PIECE}")
+    return by_tile(sent, by, made, PIECE)
 
 
 def _taps(source: np.ndarray, axis: int, at: np.ndarray, start: int, size: int, taps: np.ndarray) -> np.ndarray:
@@ -152,13 +153,25 @@ def window_weights(places: np.ndarray, source: int, result: int, start: int, cou
     return out
 
 
+@lru_cache(maxsize=256)
+def _kept_weights(first: int, places: int, source: int, result: int, start: int, count: int) -> np.ndarray:
+    return window_weights(np.arange(first, first + places), source, result, start, count)
+
+
+def _weights(places: np.ndarray, source: int, result: int, start: int, count: int) -> np.ndarray:
+    """``window_weights`` of places in a row; small ones are kept, as pictures of one size share them."""
+    if len(places) * count > 1 << 14:
+        return window_weights(places, source, result, start, count)
+    return _kept_weights(int(places[0]), len(places), source, result, start, count)
+
+
 def resize_to_fit(pieces: DataFrame, by: Sequence[str], most_edge: int, depth: int = 8, tile: int = TILE) -> DataFrame:
     """Pictures whose longer edge is ``most_edge`` at most; those within it stay as they are, in their pieces."""
     top = float((1 << depth) - 1)
 
     def kernel(source, start, places, size, result):
-        columns = window_weights(places[0], size[0], result[0], start[0], source.shape[2])
-        rows = window_weights(places[1], size[1], result[1], start[1], source.shape[1])
+        columns = _weights(places[0], size[0], result[0], start[0], source.shape[2])
+        rows = _weights(places[1], size[1], result[1], start[1], source.shape[1])
         value = rows @ (source @ columns.T)
         return np.floor(value + 0.5).clip(0, top)
 
@@ -189,12 +202,12 @@ def compose(canvases: DataFrame, layers: DataFrame, by: Sequence[str], tile: int
     parts = placed.withColumn("tx", F.explode(across)).withColumn("ty", F.explode(down))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "data"):
             rows = batch.to_pydict()
             for i in range(batch.num_rows):
                 px, py, pw, ph, tx, ty, cw, ch = (rows[c][i] for c in ("px", "py", "pw", "ph", "tx", "ty", "cw", "ch"))
                 x0, y0, x1, y1 = max(px, tx * tile), max(py, ty * tile), min(px + pw, (tx + 1) * tile, cw), min(py + ph, (ty + 1) * tile, ch)
-                full = np.frombuffer(rows["data"][i]).reshape(rows["planes"][i], ph, pw)
+                full = decoded(rows["data"][i], rows["planes"][i], ph, pw)
                 rows["data"][i] = np.ascontiguousarray(full[:, y0 - py : y1 - py, x0 - px : x1 - px]).tobytes()
                 rows["px"][i], rows["py"][i], rows["pw"][i], rows["ph"][i] = x0, y0, x1 - x0, y1 - y0
             yield pa.record_batch([pa.array(rows[f.name], f.type) for f in batch.schema], schema=batch.schema)
@@ -215,8 +228,8 @@ def compose(canvases: DataFrame, layers: DataFrame, by: Sequence[str], tile: int
         rows_of = rows.to_pydict()
         for i in sorted(order, key=lambda i: rows_of["z"][i]):
             px, py, pw, ph = (rows_of[c][i] for c in ("px", "py", "pw", "ph"))
-            out[:, py - y0 : py - y0 + ph, px - x0 : px - x0 + pw] = np.frombuffer(rows_of["data"][i]).reshape(-1, ph, pw)
-        row = (cw, ch, x0, y0, out.shape[2], out.shape[1], len(fill), out.tobytes(), [])
+            out[:, py - y0 : py - y0 + ph, px - x0 : px - x0 + pw] = decoded(rows_of["data"][i], len(fill), ph, pw)
+        row = (cw, ch, x0, y0, out.shape[2], out.shape[1], len(fill), encoded(out), [])
         own = pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().slice(0, 1) for c in by], by)
         return pa.Table.from_batches([_batch(own, by, [row])])
 
@@ -229,14 +242,19 @@ def samples_of(pieces: DataFrame, by: Sequence[str], planes: int = 1) -> DataFra
     types = dict(pieces.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "data", size=1 << 18):
+            at, xs, ys, samples = [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("px", "py", "pw", "ph", "planes", "data"))
             for i, (px, py, pw, ph, n, data) in enumerate(zip(*columns, strict=True)):
                 if data:
                     y, x = np.mgrid[py : py + ph, px : px + pw]
-                    values = np.frombuffer(data).reshape(n, -1)
-                    keys = batch.select(by).take(pa.array(np.full(pw * ph, i)))
-                    yield pa.record_batch([*keys.columns, pa.array(x.ravel(), pa.int32()), pa.array(y.ravel(), pa.int32()), *(pa.array(values[k]) for k in range(planes))], [*by, "x", "y", *(f"v{k}" for k in range(planes))])
+                    at.append(np.full(pw * ph, i))
+                    xs.append(x.ravel())
+                    ys.append(y.ravel())
+                    samples.append(decoded(data, n, ph, pw).reshape(n, -1)[:planes].astype(np.float64))
+            if at:
+                keys, values = batch.select(by).take(pa.array(np.concatenate(at))), np.concatenate(samples, axis=1)
+                yield pa.record_batch([*keys.columns, pa.array(np.concatenate(xs), pa.int32()), pa.array(np.concatenate(ys), pa.int32()), *(pa.array(values[k]) for k in range(planes))], [*by, "x", "y", *(f"v{k}" for k in range(planes))])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "x int, y int", *(f"v{k} double" for k in range(planes))])
     return pieces.select(*by, "px", "py", "pw", "ph", "planes", "data").mapInArrow(rows, schema)

@@ -1,8 +1,8 @@
 """Pictures as rows of pieces, and work on square tiles with a halo.
 
 A piece is a rectangle of a picture: the picture's key, its width and height (w, h), where
-the piece lies (px, py, pw, ph), the samples of all planes as 64-bit floats (planes, data),
-and sums that travel with it; a piece without samples carries only sums.  A picture of any size is any number of pieces;
+the piece lies (px, py, pw, ph), the samples of all planes (planes, data; as bytes if all
+are whole numbers from 0 to 255, else as 64-bit floats), and sums that travel with it; a piece without samples carries only sums.  A picture of any size is any number of pieces;
 samples that no piece holds are 0.  What a tile needs of its neighbours is cut out of the
 pieces and sent to it, so that one shuffle gives each tile its surroundings, and no task
 holds more than a tile.  Results do not depend on how a picture is cut or tiled.
@@ -15,11 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Samples along an edge of a tile, and lines of a piece that ``pieces_of`` cuts.
 TILE, LINES = 128, 64
+#: Bytes, and rows, that a task takes up or hands on at a time.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2_048
 PIECE = "w int, h int, px int, py int, pw int, ph int, planes int, data binary, sums array<double>"
 
 
@@ -34,6 +37,33 @@ class Tile(NamedTuple):
     sums: np.ndarray
 
 
+def encoded(samples: np.ndarray) -> bytes:
+    """Samples as a piece holds them: bytes where that loses nothing."""
+    with np.errstate(invalid="ignore"):
+        short = samples.astype(np.uint8)
+    return (short if (short == samples).all() else np.ascontiguousarray(samples, np.float64)).tobytes()
+
+
+def decoded(data: bytes, planes: int, ph: int, pw: int) -> np.ndarray:
+    """Samples [planes, y, x] of a piece, as bytes or floats."""
+    return np.frombuffer(data, np.uint8 if len(data) == planes * ph * pw else np.float64).reshape(planes, ph, pw)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of a few rows with at most ``size`` bytes, or entries, in ``columns``, or of one larger row."""
+    for batch in batches:
+        count = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            length = pc.list_value_length if pa.types.is_list(batch.column(c).type) else pc.binary_length
+            count += pc.fill_null(length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(count)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 def pieces_of(pictures: DataFrame, by: Sequence[str], width: str, planes: Sequence[str], lines: int = LINES) -> DataFrame:
     """Pieces of pictures that are rows: ``planes`` hold equally many samples in line order.
 
@@ -43,23 +73,29 @@ def pieces_of(pictures: DataFrame, by: Sequence[str], width: str, planes: Sequen
     types = dict(pictures.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], []
+        for batch in sliced(batches, *planes):
+            at, out, size = [], [], 0
+            keys = batch.select(list(by))
             widths = batch.column(width).to_pylist()
             for i in range(batch.num_rows):
                 own = [batch.column(p)[i].values for p in planes]
                 if not widths[i] or widths[i] < 1 or any(v is None or not len(v) for v in own):
                     continue
                 w, h = widths[i], -(-len(own[0]) // widths[i])
-                full = np.zeros((len(own), w * h))
-                for k, v in enumerate(own):
-                    full[k, : len(v)] = v.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
-                full = full.reshape(len(own), h, w)
+                if max(map(len, own)) > w * h:
+                    raise ValueError("a picture's planes hold equally many samples")
                 for y in range(0, h, lines):
-                    part = full[:, y : y + lines]
+                    part = np.zeros((len(own), min(lines, h - y) * w))
+                    for k, v in enumerate(own):
+                        held = v.slice(y * w, part.shape[1])
+                        part[k, : len(held)] = held.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
                     at.append(i)
-                    out.append((w, h, 0, y, w, part.shape[1], len(own), part.tobytes(), []))
-            yield _batch(batch.select(list(by)).take(pa.array(at, pa.int64())), list(by), out)
+                    out.append((w, h, 0, y, w, min(lines, h - y), len(own), encoded(part), []))
+                    size += len(out[-1][7])
+                    if size >= SLICE_BYTES:
+                        yield _batch(keys.take(pa.array(at, pa.int64())), list(by), out)
+                        at, out, size = [], [], 0
+            yield _batch(keys.take(pa.array(at, pa.int64())), list(by), out)
 
     return pictures.select(*by, width, *planes).mapInArrow(cut, ", ".join([f"`{c}` {types[c]}" for c in by] + [PIECE]))
 
@@ -78,7 +114,7 @@ def _sent(pieces: DataFrame, by: list[str], tile: int, halo: int) -> DataFrame:
     types = dict(pieces.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "data"):
             at, out = [], []
             rows = zip(*(batch.column(n).to_pylist() for n, _ in _FIELDS), strict=True)
             for i, (w, h, px, py, pw, ph, planes, data, sums) in enumerate(rows):
@@ -86,7 +122,7 @@ def _sent(pieces: DataFrame, by: list[str], tile: int, halo: int) -> DataFrame:
                     at.append(i)
                     out.append((w, h, px, py, 0, 0, planes, b"", sums, min(px, w - 1) // tile, min(py, h - 1) // tile))
                     continue
-                full = np.frombuffer(data).reshape(planes, ph, pw)
+                full = decoded(data, planes, ph, pw)
                 # Tiles whose halo reaches the piece.
                 for ty in range(max(0, (py - halo) // tile), min((h - 1) // tile, (py + ph - 1 + halo) // tile) + 1):
                     for tx in range(max(0, (px - halo) // tile), min((w - 1) // tile, (px + pw - 1 + halo) // tile) + 1):
@@ -116,43 +152,84 @@ def over_tiles(pieces: DataFrame, by: Sequence[str], tile: int, halo: int, edge:
     Beyond the picture's edge the halo holds its samples mirrored (``edge`` 'mirror', the
     last one twice) or the last one again ('repeat').
     """
-    by = list(by)
-    types = dict(pieces.dtypes)
-
-    def tiled(rows: pa.Table) -> pa.Table:
-        tx, ty, w, h = (rows.column(c)[0].as_py() for c in ("tx", "ty", "w", "h"))
+    def tiled(rows: list[dict], tx: int, ty: int) -> dict:
+        w, h, planes = (rows[0][c] for c in ("w", "h", "planes"))
         x0, y0 = tx * tile, ty * tile
         x1, y1 = min(w, x0 + tile), min(h, y0 + tile)
         left, top, right, bottom = max(0, x0 - halo), max(0, y0 - halo), min(w, x1 + halo), min(h, y1 + halo)
-        planes = rows.column("planes")[0].as_py()
         canvas, sums = np.zeros((planes, bottom - top, right - left)), np.zeros(0)
-        for px, py, pw, ph, data, own in zip(*(rows.column(c).to_pylist() for c in ("px", "py", "pw", "ph", "data", "sums")), strict=True):
-            part = np.frombuffer(data).reshape(planes, ph, pw)
+        for r in rows:
+            px, py, pw, ph, own = (r[c] for c in ("px", "py", "pw", "ph", "sums"))
             # A piece may lie beyond what a tile at the rim needs.
             ax, ay, bx, by_ = max(px, left), max(py, top), min(px + pw, right), min(py + ph, bottom)
             if ax < bx and ay < by_:
-                canvas[:, ay - top : by_ - top, ax - left : bx - left] = part[:, ay - py : by_ - py, ax - px : bx - px]
+                canvas[:, ay - top : by_ - top, ax - left : bx - left] = decoded(r["data"], planes, ph, pw)[:, ay - py : by_ - py, ax - px : bx - px]
             if own:
                 sums = sums + np.array(own) if len(sums) else np.array(own)
         padded = canvas[:, _places(y0 - halo, y1 - y0 + 2 * halo, h, edge) - top][:, :, _places(x0 - halo, x1 - x0 + 2 * halo, w, edge) - left]
-        made = kernel(Tile(padded, x0, y0, w, h, sums))
-        n = len(next(iter(made.values())))
-        keys = [rows.column(c).combine_chunks().take(pa.array([0] * n, pa.int64())) for c in by]
-        return pa.table([*keys, *(pa.array(v, wanted[c]) for c, v in made.items())], [*by, *made])
+        return kernel(Tile(padded, x0, y0, w, h, sums))
+
+    return by_tile(_sent(pieces, list(by), tile, halo), by, tiled, schema)
 
+
+def by_tile(sent: DataFrame, by: Sequence[str], work: Callable[[list[dict], int, int], dict], schema: str) -> DataFrame:
+    """by... and the columns that ``work`` makes of the parts of each tile (tx, ty).
+
+    A shuffle brings a tile's parts together and in a row, so that a task holds those of one
+    tile, and what it makes of a few.
+    """
+    by = list(by)
+    keys = [*by, "tx", "ty"]
+    types = dict(sent.dtypes)
     full = ", ".join([*(f"`{c}` {types[c]}" for c in by), schema])
-    empty = pieces.sparkSession.createDataFrame([], full)
+    empty = sent.sparkSession.createDataFrame([], full)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    wanted = {f.name: f.type for f in to_arrow_schema(empty.schema)}
-    return _sent(pieces, by, tile, halo).groupBy(*by, "tx", "ty").applyInArrow(tiled, full)
+    wanted = [(f.name, f.type) for f in to_arrow_schema(empty.schema)]
+    names = [c for c in sent.columns if c not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[list] = [[] for _ in wanted]
+        size, key, held = 0, None, []
+
+        def finish() -> int:
+            columns = work(held, *key[-2:])
+            values = [v.tolist() if isinstance(v, np.ndarray) else v for v in (columns[n] for n, _ in wanted[len(by) :])]
+            for out, v in zip(made, [*([k] * len(values[0]) for k in key[:-2]), *values], strict=True):
+                out.extend(v)
+            return sum(len(v) for v in columns.get("data", ()))
+
+        def ready() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(v, t) for v, (_, t) in zip(made, wanted, strict=True)], [n for n, _ in wanted])
+
+        for batch in sliced(batches, "data"):
+            parts = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            for k, part in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), parts, strict=True):
+                if held and not _alike(k, key):
+                    size += finish()
+                    held = []
+                    if size >= SLICE_BYTES or len(made[-1]) >= SLICE_ROWS:
+                        yield ready()
+                        made, size = [[] for _ in wanted], 0
+                key = k
+                held.append(dict(zip(names, part, strict=True)))
+        if held:
+            finish()
+        yield ready()
+
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, full)
+
+
+def _alike(a: tuple, b: tuple) -> bool:
+    """Keys of one group, where a number that is none equals another."""
+    return a == b or all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
 
 def as_piece(planes: np.ndarray, x0: int, y0: int, w: int, h: int, sums: np.ndarray) -> dict:
     """The columns of one piece."""
     return {
         "w": [w], "h": [h], "px": [x0], "py": [y0], "pw": [planes.shape[2]], "ph": [planes.shape[1]], "planes": [len(planes)],
-        "data": [np.ascontiguousarray(planes, np.float64).tobytes()], "sums": [sums.tolist()],
+        "data": [encoded(planes)], "sums": [sums.tolist()],
     }
 
 

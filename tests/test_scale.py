@@ -1,10 +1,12 @@
 """Queries and operators at the places where larger or odd tables broke them."""
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from marlstone import catalog
+from marlstone.operators import tiles
 from marlstone.sources import boxes
 
 
@@ -22,3 +24,32 @@ def test_more_derived_images_than_a_recursive_query_may_have(spark):
     references = items.where("kind = 'iden' AND item < 3").selectExpr("file", "'dimg' AS kind", "item AS offset", "0 AS ordinal", "item", "array(item - 1) AS to")
     out = {(r["depth"], r["fault"]): r["count"] for r in boxes.derived_sources(items, references).groupBy("depth", "fault").count().collect()}
     assert out == {(0, None): 25_001, (1, None): 25_000, (2, None): 25_000, (1, "no reference"): 37 * 25_000}
+
+
+def test_pieces_keep_a_byte_for_a_sample_where_that_loses_nothing(spark):
+    rows = [("bytes", 50, [float(i % 256) for i in range(5_000)]), ("wide", 50, [256.0] * 100), ("below", 50, [-1.0] * 100), ("parts", 50, [0.5] * 100), ("none", 50, [float("nan")] * 100)]
+    pictures = spark.createDataFrame(rows, "k string, wide int, s array<double>")
+    p = tiles.pieces_of(pictures, ["k"], "wide", ["s"], 64)
+    size = {r["k"]: r["b"] for r in p.selectExpr("k", "octet_length(data) AS b").groupBy("k").sum("b").withColumnRenamed("sum(b)", "b").collect()}
+    assert size == {"bytes": 5_000, "wide": 800, "below": 800, "parts": 800, "none": 800}
+    for k, _, want in rows:
+        for r in p.where(f"k = '{k}'").collect():
+            part = tiles.decoded(r["data"], 1, r["ph"], r["pw"]).ravel()
+            assert np.array_equal(part, np.array(want[r["py"] * 50 :][: len(part)]), equal_nan=True)
+
+
+def test_what_a_task_makes_goes_on_in_slices():
+    batch = pa.record_batch([pa.array([b"x" * n for n in (5, 5, 30, 1, 1, 1, 1)]), pa.array([[1], None, [], [1], [1], [1], [1]])], ["data", "list"])
+    assert [b.num_rows for b in tiles.sliced(iter([batch]), "data", size=10, rows=3)] == [2, 1, 3, 1]
+    assert [b.num_rows for b in tiles.sliced(iter([batch]), "list", size=2, rows=9)] == [4, 2, 1]
+
+
+def test_boxes_of_many_files_leave_a_task_in_slices():
+    class Rows:
+        dtypes = [("file", "bigint"), ("content", "binary")]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    files = pa.record_batch([pa.array([1, 2, 3]), pa.array([boxes.box("free", b"x") * 9_000, None, boxes.box("free", bytes(boxes.MOST_BYTES)) * 2])], ["file", "content"])
+    made = list(boxes.box_table(Rows())(iter([files])))
+    assert sum(b.num_rows for b in made) == 9_002 and max(b.num_rows for b in made) <= boxes.MOST_ROWS and max(b.nbytes for b in made) < 2 * boxes.MOST_BYTES
