@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from marlstone import catalog
-from marlstone.operators import tiles
+from marlstone.operators import panel, tiles
 from marlstone.sources import boxes
 
 
@@ -53,3 +53,14 @@ def test_boxes_of_many_files_leave_a_task_in_slices():
     files = pa.record_batch([pa.array([1, 2, 3]), pa.array([boxes.box("free", b"x") * 9_000, None, boxes.box("free", bytes(boxes.MOST_BYTES)) * 2])], ["file", "content"])
     made = list(boxes.box_table(Rows())(iter([files])))
     assert sum(b.num_rows for b in made) == 9_002 and max(b.num_rows for b in made) <= boxes.MOST_ROWS and max(b.nbytes for b in made) < 2 * boxes.MOST_BYTES
+
+
+def test_smoothing_by_a_band_is_smoothing():
+    r = np.random.default_rng(3).random((2, 300, 40))
+    for part in (r, r[:, :60], r[:, :9, :9]):
+        for width, reach in panel.VISUAL_WINDOWS[1:]:
+            if min(part.shape[-2:]) > 2 * reach:
+                want = part
+                for axis in (-2, -1):
+                    want = np.apply_along_axis(lambda v: np.convolve(v, panel.gaussian(width, reach), "valid"), axis, want)
+                assert np.allclose(panel.smoothed(part, width, reach), want, rtol=0, atol=1e-13)
