@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import offsets
 from marlstone.functions.scalars import entropy_q8
 from marlstone.operators.tiles import TILE, Tile, over_tiles
+from marlstone.session import written
 
 #: Edges of the cells: those that are classified, and the fine ones.
 CELL, FINE_CELL = 32, 16
@@ -137,6 +138,8 @@ def with_context(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     Distances of the three means are added up, doubled and held at 256.  Picture means are means
     of the cells; a cell without neighbours has no surround.
     """
+    # Read three times: for pictures, for neighbours and for itself.
+    cells = written(cells, "cells")
     means = ["mean", "cb_mean", "cr_mean"]
     div = lambda a, b: F.call_function("div", a, b)
     count = F.count(F.lit(1))
