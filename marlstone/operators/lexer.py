@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.tiles import sliced
+
 #: Code points of a block.
 BLOCK = 1 << 16
+#: Bytes of blocks that a task turns into objects at a time.
+SLICE = 1 << 18
 CODE, SLASH, LINE, COMMENT, STAR, TEXT, TEXT_ESCAPE, LETTER, LETTER_ESCAPE = range(9)
 STATES = range(9)
 #: Where each state goes on a character; any other one leads to the last entry.
@@ -103,14 +107,14 @@ def comments(sources: DataFrame, key: str, text: str, block: int = BLOCK) -> Dat
     kind = dict(sources.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             for i, t in enumerate(batch.column("t").to_pylist()):
                 for n in range(0, len(t), block * 64):
                     parts = [t[k : k + block] for k in range(n, min(len(t), n + block * 64), block)]
                     yield pa.record_batch([batch.column("k").take(pa.array([i] * len(parts))), pa.array(range(n // block, n // block + len(parts)), pa.int64()), pa.array(parts, pa.string())], ["k", "block", "part"])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "part", size=SLICE):
             made = [block_map(p) for p in batch.column("part").to_pylist()]
             columns = [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.bool_()))]
             yield pa.record_batch([batch.column("k"), batch.column("block"), *columns], ["k", "block", "after", "feeds", "begun"])
@@ -125,7 +129,7 @@ def comments(sources: DataFrame, key: str, text: str, block: int = BLOCK) -> Dat
         return rows[["k", "block"]].assign(**{n: [o[i] for o in out] for i, n in enumerate(("state", "line", "owner"))})
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "part", size=SLICE):
             at, rows = [], []
             columns = (batch.column(c).to_pylist() for c in ("block", "part", "state", "line", "owner"))
             for i, (b, part, state, line, owner) in enumerate(zip(*columns, strict=True)):
