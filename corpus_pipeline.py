@@ -11,17 +11,19 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_names, materialise, small
+from marlstone.llm.common import discard, free_names, materialise, small
 from marlstone.llm.mixing import mix
 from marlstone.llm.near_dup import near_duplicates
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pii import with_surrogates
-from marlstone.llm.quality import quality_verdicts
+from marlstone.llm.quality import passing
 from marlstone.llm.registry import PII_KEY, vocabulary
 from marlstone.llm.vocab import with_token_counts
 
 #: Near-duplicates share words in shingles of five.
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Bitmaps (of 4 KB, for 32,768 row numbers of a task) up to which those of the rows to keep are sent to every executor.
+BITMAPS = 8192
 
 
 #: The columns that stages read or change.
@@ -42,7 +44,7 @@ def _carrying(stage):
 @_carrying
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is not rejected."""
-    return quality_verdicts(docs).where("kept").select(*docs.columns)
+    return passing(docs)
 
 
 @_carrying
@@ -52,16 +54,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Verdicts are by row, as an id may be null or stand for several texts.  Rows without
     words are alike only if their ids and texts are.
     """
-    (row,) = free_names(docs, "_row")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    row, bucket, bits = free_names(docs, "_row", "_bucket", "_bits")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
     verdicts = near_duplicates(numbered, id_col=row, words=SHINGLE_WORDS, similarity=SIMILARITY).withColumnRenamed("doc_id", row)
     blank = F.col("n_shingles") == 0
     alike = [F.when(~blank, F.col("component_id")).alias("g0"), F.when(blank, F.col("doc_id")).alias("g1"), F.when(blank, F.col("digest")).alias("g2")]
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
     ids = numbered.select(row, "doc_id", F.sha2("text", 256).alias("digest"))
     first = verdicts.join(ids.hint("merge"), row).groupBy(*alike).agg(F.min(own)[row].alias(row))
-    kept = materialise(first.select(row), "kept")
-    return numbered.join(small(kept), row, "left_semi").select(*docs.columns)
+    # A bit a row, so that texts need no shuffle to be chosen from.
+    number, place = F.bitmap_bucket_number(F.col(row) + 1).alias(bucket), F.bitmap_bit_position(F.col(row) + 1)
+    kept = materialise(first.groupBy(number).agg(F.bitmap_construct_agg(place).alias(bits)), "kept")
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), place % 8).cast("int")
+    chosen = numbered.withColumn(bucket, number).join(small(kept, limit=BITMAPS), bucket)
+    return chosen.where(byte.bitwiseAND(bit) > 0).select(*docs.columns)
 
 
 @_carrying
@@ -73,10 +80,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_carrying
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; smaller sources again, up to twice, for a flatter mix."""
+    """Every document at least once; smaller sources again, up to twice, for a flatter mix.
+
+    ``mix`` writes the counts without the texts; in the result nothing asks for them, so
+    they are not worked out again.
+    """
     (tokens,) = free_names(docs, "_tokens")
-    counted = materialise(with_token_counts(docs, vocabulary(), tokens), "counted")
-    return mix(counted, tokens=F.col(tokens)).select(*docs.columns)
+    return mix(with_token_counts(docs, vocabulary(), tokens), tokens=F.col(tokens)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,5 +109,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -255,32 +255,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = materialise(_sketch(docs, words, bands, rows), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    keyed = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    keyed = materialise(keyed.withColumn("cid", F.monotonically_increasing_id()), "keyed")
+    # Band keys are most of these tables, and are done with early.
+    digests = materialise(sketch.drop("keys"), "digests")
+    discard(sketch)
 
     key: Column = F.posexplode("keys").alias("pos", "key")
-    exploded = classes.select("cid", key).select("cid", "key", (F.col("pos") >= bands).cast("int").alias("side"))
+    exploded = keyed.select("cid", key).select("cid", "key", (F.col("pos") >= bands).cast("int").alias("side"))
     shared = exploded.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key")
     keys = materialise(exploded.join(shared.hint("merge"), "key").withColumn("comp", F.col("cid")), "keys")
+    classes = materialise(keyed.drop("keys"), "classes")
+    discard(keyed)
     links = labels = None
+    made = []
     for turn in range(TURNS):
         star = _star_pairs(keys, turn)
         new = _confirm(docs, classes, star, words, similarity)
+        made.append(new)
         discard(star)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         labels = components(links)
+        made.append(labels)
         left = _with_components(keys, labels)
         discard(keys)
         keys = left
     last = _unjoined_links(docs, classes, keys, words, similarity)
     labels = components(last if links is None else links.union(last))
+    discard(keys)
 
     named = classes.select("cid", "d1", "d2", "doc_id").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.join(least.hint("merge"), "comp").select("d1", "d2", "component_id"), "named")
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
+    discard(classes, last, labels, *made)
+    out = digests.join(named.hint("merge"), ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    discard(keys)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

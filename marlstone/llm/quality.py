@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_names, materialise, slices, small
+from marlstone.llm.common import discard, free_names, materialise, slices, small
 
 #: White space between words, and the symbols that are counted.
 SPACE = b" \t\n\v\f\r"
@@ -131,3 +131,17 @@ def quality_verdicts(docs: DataFrame, host_col: str = "source", text_col: str =
     rates = materialise(host_rates(measured, host_col).select(F.col("host").alias(rated), F.col("host_rate").alias(rate)), "hosts")
     joined = measured.join(small(rates), measured[host_col].eqNullSafe(rates[rated]), "left").drop(rated).withColumnRenamed(rate, "host_rate")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+
+
+def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with their own columns.
+
+    Texts are measured once for the hosts and once for the rows, so that none is written
+    in between; ``docs`` may have none of the columns of ``STATS`` or ``base_failed``.
+    """
+    flags = materialise(with_stats(docs.select(host_col, text_col), text_col, keep_text=False).select(host_col, "base_failed"), "flags")
+    (host,) = free_names(docs, "_rejected_host")
+    rejected = materialise(host_rates(flags, host_col).where(F.col("host_rate") > max_host_rate).select(F.col("host").alias(host)), "rejected")
+    discard(flags)
+    left = docs.join(small(rejected), docs[host_col].eqNullSafe(rejected[host]), "left_anti")
+    return with_stats(left, text_col).where(~F.col("base_failed")).select(*docs.columns)

@@ -1,6 +1,12 @@
 """The stages of the corpus pipeline on small cases."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
+
 import corpus_pipeline
+from marlstone.llm.common import shared_dir
+from marlstone.llm.quality import passing, quality_verdicts
 from marlstone.llm.registry import op6_source_mix, vocabulary
 from marlstone.llm.vocab import text_ids
 
@@ -74,3 +80,42 @@ def test_run_holds_what_each_stage_keeps(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def written_columns(folder, before):
+    """Columns of the tables that appeared in the shared folder since ``before``."""
+    return {t.name.rsplit("-", 1)[0]: set(pq.read_schema(next(t.rglob("*.parquet"))).names) for t in set(folder.iterdir()) - before}
+
+
+def test_stages_write_texts_once_at_most(spark, tmp_path):
+    docs = spark.createDataFrame(rows_of_documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "marlstone"
+    folder.mkdir(exist_ok=True)
+    for stage, most in ((corpus_pipeline.quality, 0), (corpus_pipeline.near_dedup, 1), (corpus_pipeline.pii, 0), (corpus_pipeline.mixture, 0)):
+        before = set(folder.iterdir())
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{stage.__name__}")
+        found = written_columns(folder, before)
+        assert sum("text" in c for c in found.values()) == most, found
+        # Band keys and links are removed once they are done with.
+        assert stage is not corpus_pipeline.near_dedup or set(found) == {"numbered", "digests", "named", "kept"}, found
+
+
+def test_texts_are_not_shuffled_to_choose_them(spark, monkeypatch):
+    small = corpus_pipeline.small
+    monkeypatch.setattr(corpus_pipeline, "small", lambda df, rows=None, limit=2: small(df, rows, limit))
+    docs = spark.createDataFrame(rows_of_documents(), "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(12), 22, 23, 24, 25, 26]
+    counted = corpus_pipeline.mixture(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in counted
+
+
+def test_quality_keeps_what_the_verdicts_keep(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) if i % 3 else "bad", None if i % 5 == 0 else f"h{i % 5 if i % 3 else 9}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = quality_verdicts(docs).where("kept").select(*docs.columns)
+    got = passing(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert 0 < want.count() < len(rows)
