@@ -3,7 +3,7 @@
 Every sequence has an index without gaps.  A keyed Feistel network permutes the indexes:
 it is a bijection of the next even number of bits, and what falls outside the count walks
 on along its cycle until it is inside.  The result is the sequence's slot.  Slots are
-dealt to shards by range; a shard is one file of its slots' sequences in order, each of
+dealt to shards by range, compressed on their way; a shard is one file of its slots' sequences in order, each of
 the same number of bytes.  So a reader finds slot s in shard s // per_shard at byte
 (s % per_shard) * stride, reads on from there, and resumes anywhere.
 """
@@ -14,8 +14,8 @@ import posixpath
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,6 +27,8 @@ from marlstone.llm.vocab import text_ids, tokenizer
 #: Tokens of a sequence, and sequences of a shard (8 MiB of 16-bit ids).
 LENGTH, PER_SHARD = 1024, 4096
 ROUNDS = 8
+#: Bytes of sequences that a task deals to shards at a time.
+HELD = 32 << 20
 
 
 class Feistel:
@@ -133,6 +135,18 @@ def with_index(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(first), "task").withColumn("index", F.col("first") + F.col("place")).drop("task", "place", "first"), total
 
 
+def _held(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``rows`` rows; the last may have fewer."""
+    held = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _put(filesystem: fs.FileSystem, path: str, data: bytes) -> None:
     """Writes a file that appears whole: a task that runs again replaces it by the same bytes."""
     part = f"{path}.{np.random.default_rng().integers(1 << 62):x}.part"
@@ -151,36 +165,48 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, key: int = 0
     rows, count = with_index(written)
     order = Feistel(max(1, count), key)
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(order.slots(index.to_numpy()))
-
-    rows = rows.withColumn("slot", slot("index")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
     shards = max(1, -(-count // per_shard))
-    ranged = rows.drop("index").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
     filesystem, root = fs.FileSystem.from_uri(out)
     filesystem.create_dir(root, recursive=True)
     kept = ["first_doc", "first_start", "n_docs", "n_tokens"]
     dtype = dict(rows.dtypes)["first_doc"]
+    stride = 2 * length
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for what about ``HELD`` bytes of sequences have for a shard, their ids compressed together."""
+        codec = pa.Codec("zstd", compression_level=1)
+        for table in _held(batches, max(1, HELD // stride)):
+            slots = order.slots(table.column("index").to_numpy())
+            by_slot = np.argsort(slots)
+            slots, table = slots[by_slot], table.take(pa.array(by_slot))
+            runs = _runs(slots // per_shard)
+            ids = table.column("ids")
+            blobs = [codec.compress(b"".join(ids.slice(lo, hi - lo).to_pylist()), asbytes=True) for lo, hi in runs]
+            edges = pa.array([0, *(hi for _, hi in runs)], pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, column) for column in (pa.array(slots), *(table.column(c).combine_chunks() for c in kept))]
+            yield pa.record_batch([pa.array([int(slots[lo] // per_shard) for lo, _ in runs], pa.int32()), *lists, pa.array(blobs, pa.binary())], ["shard", "slot", *kept, "blob"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition holds whole shards; one shard at a time is kept."""
+        """A partition holds one shard."""
         target, base = fs.FileSystem.from_uri(out)
-        now, parts = None, []
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            for lo, hi in _runs(shard):
-                if now is not None and shard[lo] != now:
-                    _put(target, posixpath.join(base, f"shard-{now:08d}.bin"), b"".join(parts))
-                    parts = []
-                now = int(shard[lo])
-                parts += batch.column("ids").slice(lo, hi - lo).to_pylist()
-            position = pa.array(batch.column("slot").to_numpy() % per_shard)
-            yield pa.record_batch([*map(batch.column, ("slot", "shard")), position, *map(batch.column, kept)], ["slot", "shard", "position", *kept])
-        if now is not None:
-            _put(target, posixpath.join(base, f"shard-{now:08d}.bin"), b"".join(parts))
-
-    manifest = materialise(ranged.select("slot", "shard", *kept, "ids").mapInArrow(store, f"slot long, shard long, position long, first_doc {dtype}, first_start long, n_docs long, n_tokens long"), "manifest")
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        shard = table.column("shard")[0].as_py()
+        slots, *others = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("slot", *kept))
+        sizes = pc.list_value_length(table.column("slot")).to_pylist()
+        blobs = zip(table.column("blob").to_pylist(), sizes, strict=True)
+        data = b"".join(pa.decompress(blob, decompressed_size=n * stride, codec="zstd", asbytes=True) for blob, n in blobs)
+        slots = slots.to_numpy()
+        by_slot = np.argsort(slots)
+        _put(target, posixpath.join(base, f"shard-{shard:08d}.bin"), np.frombuffer(data, np.uint8).reshape(-1, stride)[by_slot].tobytes())
+        slots, take = slots[by_slot], pa.array(by_slot)
+        yield pa.record_batch([pa.array(slots), pa.array(slots // per_shard), pa.array(slots % per_shard), *(c.take(take) for c in others)], ["slot", "shard", "position", *kept])
+
+    lists = ", ".join(["slot array<long>", f"first_doc array<{dtype}>", *(f"{c} array<long>" for c in kept[1:])])
+    parts = rows.mapInArrow(dealt, f"shard int, {lists}, blob binary").repartitionById(shards, "shard")
+    manifest = materialise(parts.mapInArrow(store, f"slot long, shard long, position long, first_doc {dtype}, first_start long, n_docs long, n_tokens long"), "manifest")
     discard(written)
     return manifest
 

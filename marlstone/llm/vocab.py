@@ -97,7 +97,8 @@ def id_memo(path: str) -> Memo:
         out = []
         for piece in PIECE.findall(chunk):
             if len(piece) > 2:
-                out.append(piece_ids(piece))
+                # A word before a mark was mostly seen alone, or before another mark.
+                out.append(memo[piece] if piece.isalpha() else piece_ids(piece))
                 continue
             if piece not in short:
                 if len(short) >= 10_000:
@@ -106,7 +107,8 @@ def id_memo(path: str) -> Memo:
             out.append(short[piece])
         return b"".join(out)
 
-    return Memo(ids)
+    memo = Memo(ids)
+    return memo
 
 
 def lowered(text: str) -> str:

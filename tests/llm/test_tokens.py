@@ -201,3 +201,30 @@ def test_random_text_of_all_scripts_against_the_library():
         at = random_.randrange(len(text) + 1)
         for end in (at, len(text)):
             assert token_counts.total(deltas[:end]) == len(library.encode(text[:end], add_special_tokens=False).ids), text[:end]
+
+
+def test_sequences_are_dealt_to_shards_without_a_sample_and_compressed(spark, tmp_path):
+    rows = [(i, "one and the same text again " * 40, None, None) for i in range(300)]
+    plans, moved = [], training_order.materialise
+
+    def seen(df, tag, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return moved(df, tag, *rest)
+
+    training_order.materialise = seen
+    try:
+        manifest = training_order.write_shards(docs(spark, rows), PATH, f"file://{tmp_path}/s", 2, key=5, length=16, per_shard=64)
+    finally:
+        training_order.materialise = moved
+    assert "rangepartitioning" not in plans[-1] and "blob" in plans[-1]
+    got = manifest.toPandas().sort_values("slot")
+    assert got["slot"].tolist() == list(range(len(got))) and (got["slot"] // 64 == got["shard"]).all() and (got["slot"] % 64 == got["position"]).all()
+    assert len(got) > 640 and manifest.count() == training_order.read_shards(spark, f"file://{tmp_path}/s", 16, 64).count()
+
+
+def test_words_before_marks_are_tokenised_once():
+    memo = vocab.id_memo.__wrapped__(PATH)
+    text = "unseenish unseenish, unseenish. (unseenish) unseenish's $$$unseenish $$$$ ab, ab."
+    assert np.frombuffer(b"".join(map(memo.__getitem__, vocab.chunks(text))), "<u4").tolist() == library(text)
+    alone = vocab.id_memo.__wrapped__(PATH)
+    assert alone["otherish,"] and "otherish" in alone
