@@ -6,6 +6,10 @@ in fewer shades for its distorted copy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,28 @@ def _pieces(spark: SparkSession, sf_dir: str, *planes: str) -> DataFrame:
     return tiles.pieces_of(_pictures(spark, sf_dir), ["page_id"], "width", planes)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of planes a and b as ``_pieces`` gives them, but of many lines, and read from the text itself."""
+    most = panel.WHOLE // WIDTH
+    thirds = (np.arange(most * WIDTH) % 3).astype(np.uint8)
+    for batch in tiles.sliced(batches, "html"):
+        at, out = [], []
+        for i, data in enumerate(batch.column("html").cast(pa.binary()).to_pylist()):
+            text = (data or b"").decode("utf-8", "replace")
+            h = -(-len(text) // WIDTH)
+            for y in range(0, h, most):
+                # The lowest byte of a code point is its shade.
+                a = np.frombuffer(text[y * WIDTH : (y + most) * WIDTH].encode("utf-32-le"), np.uint8)[::4]
+                ph = min(most, h - y)
+                samples = np.zeros((2, ph * WIDTH), np.uint8)
+                samples[0, : len(a)] = a
+                # Lines, and so pieces, begin at multiples of 3.
+                samples[1, : len(a)] = (a & 248) + thirds[: len(a)]
+                at.append(i)
+                out.append((WIDTH, h, 0, y, WIDTH, ph, 2, samples.tobytes(), []))
+        yield tiles._batch(batch.select(["page_id"]).take(pa.array(at, pa.int64())), ["page_id"], out)
+
+
 _SAMPLES = f"""l AS (SELECT page_id, list_transform(string_split(html, ''), lambda c: unicode(c) % 256) AS s, CAST(ceil(len(string_split(html, '')) / {WIDTH}.0) AS INTEGER) AS h FROM pages WHERE html <> ''),
 u AS (SELECT page_id, h, s, unnest(range(0, h * {WIDTH})) AS i FROM l),
 p0 AS (SELECT page_id, {WIDTH} AS w, h, i % {WIDTH} AS x, i // {WIDTH} AS y, coalesce(s[i + 1], 0) AS a, CASE WHEN i < len(s) THEN s[i + 1] // 8 * 8 + i % 3 ELSE 0 END AS b,
@@ -76,7 +102,9 @@ SELECT page_id, coalesce(scales, 0) AS scales, round(v, 5) AS ms_ssim, round(-10
 
 @_query(_ms_ssim_sql(3))
 def k1_multi_scale_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = panel.multi_scale_similarity(_pieces(spark, sf_dir, "a", "b"), ["page_id"], tile=80)
+    # The texts are shuffled, as a table of a few row groups is read by a few tasks.
+    rows = table(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id")
+    out = panel.multi_scale_similarity(rows, ["page_id"], tile=80, cut=_cut)
     return out.select("page_id", "scales", F.round("ms_ssim", 5).alias("ms_ssim"), F.round("ms_ssim_db", 4).alias("ms_ssim_db"))
 
 

@@ -37,6 +37,20 @@ class Tile(NamedTuple):
     sums: np.ndarray
 
 
+class Region(NamedTuple):
+    """Samples [planes, y, x] from (left, top) on, of which x0 ... x1 - 1 and y0 ... y1 - 1 are the region's own; its picture's size."""
+
+    planes: np.ndarray
+    left: int
+    top: int
+    x0: int
+    y0: int
+    x1: int
+    y1: int
+    w: int
+    h: int
+
+
 def encoded(samples: np.ndarray) -> bytes:
     """Samples as a piece holds them: bytes where that loses nothing."""
     with np.errstate(invalid="ignore"):
@@ -109,6 +123,16 @@ def _batch(keys: pa.RecordBatch, by: list[str], rows: list[tuple], more: Sequenc
     return pa.record_batch([*(keys.column(c) for c in by), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], [*by, *(n for n, _ in fields)])
 
 
+def _parts(samples: np.ndarray, px: int, py: int, w: int, h: int, tile: int, halo: int) -> Iterator[tuple[np.ndarray, int, int, int, int]]:
+    """What each tile whose halo reaches a piece needs of it, where that starts, and the tile (tx, ty)."""
+    ph, pw = samples.shape[1:]
+    for ty in range(max(0, (py - halo) // tile), min((h - 1) // tile, (py + ph - 1 + halo) // tile) + 1):
+        for tx in range(max(0, (px - halo) // tile), min((w - 1) // tile, (px + pw - 1 + halo) // tile) + 1):
+            x0, x1 = max(px, tx * tile - halo), min(px + pw, (tx + 1) * tile + halo)
+            y0, y1 = max(py, ty * tile - halo), min(py + ph, (ty + 1) * tile + halo)
+            yield samples[:, y0 - py : y1 - py, x0 - px : x1 - px], x0, y0, tx, ty
+
+
 def _sent(pieces: DataFrame, by: list[str], tile: int, halo: int) -> DataFrame:
     """Each piece's part for each tile that it reaches, the tile (tx, ty) beside it."""
     types = dict(pieces.dtypes)
@@ -122,16 +146,10 @@ def _sent(pieces: DataFrame, by: list[str], tile: int, halo: int) -> DataFrame:
                     at.append(i)
                     out.append((w, h, px, py, 0, 0, planes, b"", sums, min(px, w - 1) // tile, min(py, h - 1) // tile))
                     continue
-                full = decoded(data, planes, ph, pw)
-                # Tiles whose halo reaches the piece.
-                for ty in range(max(0, (py - halo) // tile), min((h - 1) // tile, (py + ph - 1 + halo) // tile) + 1):
-                    for tx in range(max(0, (px - halo) // tile), min((w - 1) // tile, (px + pw - 1 + halo) // tile) + 1):
-                        x0, x1 = max(px, tx * tile - halo), min(px + pw, (tx + 1) * tile + halo)
-                        y0, y1 = max(py, ty * tile - halo), min(py + ph, (ty + 1) * tile + halo)
-                        part = np.ascontiguousarray(full[:, y0 - py : y1 - py, x0 - px : x1 - px])
-                        home = (tx, ty) == (px // tile, py // tile)
-                        at.append(i)
-                        out.append((w, h, x0, y0, x1 - x0, y1 - y0, planes, part.tobytes(), sums if home else None, tx, ty))
+                for part, x0, y0, tx, ty in _parts(decoded(data, planes, ph, pw), px, py, w, h, tile, halo):
+                    home = (tx, ty) == (px // tile, py // tile)
+                    at.append(i)
+                    out.append((w, h, x0, y0, part.shape[2], part.shape[1], planes, part.tobytes(), sums if home else None, tx, ty))
             yield _batch(batch.select(by).take(pa.array(at, pa.int64())), by, out, [("tx", pa.int32()), ("ty", pa.int32())])
 
     return pieces.select(*by, *(n for n, _ in _FIELDS)).mapInArrow(cut, ", ".join([*(f"`{c}` {types[c]}" for c in by), PIECE, "tx int, ty int"]))
@@ -146,6 +164,20 @@ def _places(start: int, count: int, size: int, edge: str) -> np.ndarray:
     return np.where(at < size, at, 2 * size - 1 - at)
 
 
+def _laid(rows: list[dict], planes: int, left: int, top: int, right: int, bottom: int) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of a rectangle, and the sums of the pieces that begin in it."""
+    canvas, sums = np.zeros((planes, bottom - top, right - left)), np.zeros(0)
+    for r in rows:
+        px, py, pw, ph, own = (r[c] for c in ("px", "py", "pw", "ph", "sums"))
+        # A piece may lie beyond what a tile at the rim needs.
+        ax, ay, bx, by_ = max(px, left), max(py, top), min(px + pw, right), min(py + ph, bottom)
+        if ax < bx and ay < by_:
+            canvas[:, ay - top : by_ - top, ax - left : bx - left] = decoded(r["data"], planes, ph, pw)[:, ay - py : by_ - py, ax - px : bx - px]
+        if own:
+            sums = sums + np.array(own) if len(sums) else np.array(own)
+    return canvas, sums
+
+
 def over_tiles(pieces: DataFrame, by: Sequence[str], tile: int, halo: int, edge: str, kernel: Callable[[Tile], dict], schema: str) -> DataFrame:
     """Rows that ``kernel`` makes of every tile: a dictionary of equally long columns.
 
@@ -157,26 +189,60 @@ def over_tiles(pieces: DataFrame, by: Sequence[str], tile: int, halo: int, edge:
         x0, y0 = tx * tile, ty * tile
         x1, y1 = min(w, x0 + tile), min(h, y0 + tile)
         left, top, right, bottom = max(0, x0 - halo), max(0, y0 - halo), min(w, x1 + halo), min(h, y1 + halo)
-        canvas, sums = np.zeros((planes, bottom - top, right - left)), np.zeros(0)
-        for r in rows:
-            px, py, pw, ph, own = (r[c] for c in ("px", "py", "pw", "ph", "sums"))
-            # A piece may lie beyond what a tile at the rim needs.
-            ax, ay, bx, by_ = max(px, left), max(py, top), min(px + pw, right), min(py + ph, bottom)
-            if ax < bx and ay < by_:
-                canvas[:, ay - top : by_ - top, ax - left : bx - left] = decoded(r["data"], planes, ph, pw)[:, ay - py : by_ - py, ax - px : bx - px]
-            if own:
-                sums = sums + np.array(own) if len(sums) else np.array(own)
+        canvas, sums = _laid(rows, planes, left, top, right, bottom)
         padded = canvas[:, _places(y0 - halo, y1 - y0 + 2 * halo, h, edge) - top][:, :, _places(x0 - halo, x1 - x0 + 2 * halo, w, edge) - left]
         return kernel(Tile(padded, x0, y0, w, h, sums))
 
     return by_tile(_sent(pieces, list(by), tile, halo), by, tiled, schema)
 
 
-def by_tile(sent: DataFrame, by: Sequence[str], work: Callable[[list[dict], int, int], dict], schema: str) -> DataFrame:
+def over_regions(pieces: DataFrame, by: Sequence[str], tile: int, halo: int, most: int, kernel: Callable[[Sequence[Region]], list[np.ndarray]], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """by..., w, h and sums: what ``kernel`` makes of each region of a picture; regions are handed to it several at a time.
+
+    A picture of one piece and at most ``most`` samples is a region, worked off where it
+    lies without a shuffle; others are cut into tiles and their halos.  With ``cut``,
+    ``pieces`` are any rows, and it makes batches of pieces of theirs.
+    """
+    by = list(by)
+    types = dict(pieces.dtypes)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(cut(batches) if cut else batches, "data"):
+            at, out, whole = [], [], []
+            rows = zip(*(batch.column(n).to_pylist() for n, _ in _FIELDS), strict=True)
+            for i, (w, h, px, py, pw, ph, planes, data, _) in enumerate(rows):
+                if not data:
+                    at.append(i)
+                    out.append((w, h, 0, 0, 0, 0, planes, b"", [], 0, 0))
+                elif (pw, ph) == (w, h) and w * h <= most:
+                    whole.append((i, Region(decoded(data, planes, ph, pw), 0, 0, 0, 0, w, h, w, h)))
+                else:
+                    for part, x0, y0, tx, ty in _parts(decoded(data, planes, ph, pw), px, py, w, h, tile, halo):
+                        at.append(i)
+                        out.append((w, h, x0, y0, part.shape[2], part.shape[1], planes, part.tobytes(), None, tx, ty))
+            for (i, r), sums in zip(whole, kernel([r for _, r in whole]), strict=True):
+                at.append(i)
+                out.append((r.w, r.h, 0, 0, 0, 0, len(r.planes), b"", sums.tolist(), 0, 0))
+            yield _batch(batch.select(by).take(pa.array(at, pa.int64())), by, out, [("tx", pa.int32()), ("ty", pa.int32())])
+
+    def tiled(rows: list[dict], tx: int, ty: int) -> dict:
+        w, h, planes = (rows[0][c] for c in ("w", "h", "planes"))
+        x0, y0 = tx * tile, ty * tile
+        x1, y1 = min(w, x0 + tile), min(h, y0 + tile)
+        left, top = max(0, x0 - halo), max(0, y0 - halo)
+        canvas, _ = _laid(rows, planes, left, top, min(w, x1 + halo), min(h, y1 + halo))
+        return {"w": [w], "h": [h], "sums": [s.tolist() for s in kernel([Region(canvas, left, top, x0, y0, x1, y1, w, h)])]}
+
+    sent = (pieces if cut else pieces.select(*by, *(n for n, _ in _FIELDS))).mapInArrow(measured, ", ".join([*(f"`{c}` {types[c]}" for c in by), PIECE, "tx int, ty int"]))
+    return by_tile(sent, by, tiled, "w int, h int, sums array<double>", "sums")
+
+
+def by_tile(sent: DataFrame, by: Sequence[str], work: Callable[[list[dict], int, int], dict], schema: str, settled: str | None = None) -> DataFrame:
     """by... and the columns that ``work`` makes of the parts of each tile (tx, ty).
 
     A shuffle brings a tile's parts together and in a row, so that a task holds those of one
-    tile, and what it makes of a few.
+    tile, and what it makes of a few.  Rows with a value in the column ``settled`` go on as
+    they are.
     """
     by = list(by)
     keys = [*by, "tx", "ty"]
@@ -202,17 +268,22 @@ def by_tile(sent: DataFrame, by: Sequence[str], work: Callable[[list[dict], int,
         def ready() -> pa.RecordBatch:
             return pa.record_batch([pa.array(v, t) for v, (_, t) in zip(made, wanted, strict=True)], [n for n, _ in wanted])
 
-        for batch in sliced(batches, "data"):
-            parts = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            for k, part in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), parts, strict=True):
-                if held and not _alike(k, key):
-                    size += finish()
-                    held = []
-                    if size >= SLICE_BYTES or len(made[-1]) >= SLICE_ROWS:
-                        yield ready()
-                        made, size = [[] for _ in wanted], 0
-                key = k
-                held.append(dict(zip(names, part, strict=True)))
+        for whole in batches:
+            if settled:
+                done = whole.column(settled).is_valid()
+                yield whole.filter(done).select([n for n, _ in wanted])
+                whole = whole.filter(pc.invert(done))
+            for batch in sliced(iter([whole]), "data"):
+                parts = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+                for k, part in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), parts, strict=True):
+                    if held and not _alike(k, key):
+                        size += finish()
+                        held = []
+                        if size >= SLICE_BYTES or len(made[-1]) >= SLICE_ROWS:
+                            yield ready()
+                            made, size = [[] for _ in wanted], 0
+                    key = k
+                    held.append(dict(zip(names, part, strict=True)))
         if held:
             finish()
         yield ready()
