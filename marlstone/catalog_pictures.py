@@ -39,7 +39,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     most = panel.WHOLE // WIDTH
     thirds = (np.arange(most * WIDTH) % 3).astype(np.uint8)
     for batch in tiles.sliced(batches, "html"):
-        at, out = [], []
+        at, out, size, keys = [], [], 0, batch.select(["page_id"])
         for i, data in enumerate(batch.column("html").cast(pa.binary()).to_pylist()):
             text = (data or b"").decode("utf-8", "replace")
             h = -(-len(text) // WIDTH)
@@ -53,7 +53,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 samples[1, : len(a)] = (a & 248) + thirds[: len(a)]
                 at.append(i)
                 out.append((WIDTH, h, 0, y, WIDTH, ph, 2, samples.tobytes(), []))
-        yield tiles._batch(batch.select(["page_id"]).take(pa.array(at, pa.int64())), ["page_id"], out)
+                size += samples.size
+                if size >= tiles.SLICE_BYTES:
+                    yield tiles._batch(keys.take(pa.array(at, pa.int64())), ["page_id"], out)
+                    at, out, size = [], [], 0
+        yield tiles._batch(keys.take(pa.array(at, pa.int64())), ["page_id"], out)
 
 
 _SAMPLES = f"""l AS (SELECT page_id, list_transform(string_split(html, ''), lambda c: unicode(c) % 256) AS s, CAST(ceil(len(string_split(html, '')) / {WIDTH}.0) AS INTEGER) AS h FROM pages WHERE html <> ''),

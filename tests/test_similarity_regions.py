@@ -96,3 +96,10 @@ def test_pages_larger_than_what_is_worked_off_whole(spark, tmp_path):
     got = sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
     want = duckdb.connect().sql(catalog.oracle_sql()[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet' pages")).fetchall()
     assert got == sorted(want) and [row[1] for row in got] == [3, 0, 1, 3]
+
+
+def test_a_long_text_leaves_in_slices():
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["ab" * 4_000_000, "c"])], ["page_id", "html"])
+    made = list(catalog_pictures._cut(iter([batch])))
+    assert sum(b.num_rows for b in made) == 32 and max(b.nbytes for b in made) < 2 * tiles.SLICE_BYTES
+    assert sum(len(d) for b in made for d in b.column("data").to_pylist()) == 2 * 48 * (-(-8_000_000 // 48) + 1)
